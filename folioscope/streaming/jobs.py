@@ -51,9 +51,14 @@ def latest(events: DataFrame, key: str, order: list[str], state: list[str]) -> D
     return events.groupBy(key).agg(last, F.count(F.lit(1)).alias("events")).select(key, *(F.col(f"_s.{c}").alias(c) for c in state), "events")
 
 
+def _timed(df: DataFrame, time: str) -> DataFrame:
+    """Watermarks want a time with a zone; one without is taken in the session's."""
+    return df.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def stream_submissions(requests: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """First request of each fingerprint within the watermark; replays are dropped."""
-    return requests.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    return _timed(requests, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def stream_latest(events: DataFrame, key: str, order: str, state: list[str]) -> DataFrame:
@@ -65,5 +70,5 @@ def stream_latest(events: DataFrame, key: str, order: str, state: list[str]) ->
 def stream_counts(events: DataFrame, window: str, delay: str = "10 minutes", time: str = "ts", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counters and summaries of each window, final once the watermark has passed it."""
     v = F.col("value")
-    by = events.withWatermark(time, delay).groupBy(F.window(time, window), *keys)
+    by = _timed(events, time).withWatermark(time, delay).groupBy(F.window(time, window), *keys)
     return by.agg(F.count(F.lit(1)).alias("count"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"))
