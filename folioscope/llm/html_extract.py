@@ -70,11 +70,11 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # name, barred, in article
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, barred, in article, silent
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = self.chars = 0
-        self.barred = self.article = False
+        self.barred = self.article = self.silent = False
 
     def _flush(self) -> None:
         if self.parts:
@@ -87,7 +87,7 @@ class _Lines(HTMLParser):
             self.link_chars = self.chars = 0
 
     def _top(self) -> None:
-        self.barred, self.article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
+        self.barred, self.article, self.silent = self.stack[-1][1:] if self.stack else (False, False, False)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -119,8 +119,10 @@ class _Lines(HTMLParser):
                     barred = True
         if tag == "header" and not self.article:
             barred = True
-        self.stack.append((tag, barred, article))
-        self.barred, self.article = barred, article
+        # An inline element that is barred inside a line that isn't: its text is left out of the line.
+        silent = self.silent or (tag not in BLOCK and barred and not self.barred)
+        self.stack.append((tag, barred, article, silent))
+        self.barred, self.article, self.silent = barred, article, silent
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -141,6 +143,8 @@ class _Lines(HTMLParser):
                 return  # an inline end tag does not close a block
 
     def handle_data(self, data: str) -> None:
+        if self.silent:
+            return
         self.parts.append(data)
         self.chars += len(data)
         if self.stack and any(x[0] == "a" for x in self.stack[-4:]):
