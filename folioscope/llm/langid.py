@@ -164,6 +164,8 @@ def fit(path: str, counts: dict[str, Counter], rounds: int = 2) -> Model:
     """Piece probabilities from word counts of each language, by expectation-maximisation."""
     index = pieces(path)
     langs = sorted(counts)
+    if not langs:
+        return Model(path, [], np.zeros((len(index) + 1, 0)))
     longest = max(map(len, index), default=1)
     table = np.zeros((len(index) + 1, len(langs)))
     for at, lang in enumerate(langs):

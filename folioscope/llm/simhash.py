@@ -195,7 +195,7 @@ def linked(scratch: Scratch, prints: DataFrame, tau: int, m: int, block: int) ->
             for i, part, t in probes:
                 value = part_values(x, part)
                 for k, bits in enumerate(itertools.combinations(range(len(part)), t)):
-                    mask = ~np.int64(sum(1 << b for b in bits))
+                    mask = ~np.array(sum(1 << b for b in bits), np.uint64).view(np.int64)
                     code = np.full(len(x), i << 20 | k, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(value & mask), batch.column(0), batch.column(1)], names=["probe", "value", "fingerprint", "rep"])
 
