@@ -32,6 +32,8 @@ SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 50_000
 #: Terms that the machine has weights for, at most.
 TERMS = 1024
+#: Terms whose z-score between the classes is over 6 and this share of the largest are strong.
+STRONG = 0.4
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.7
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -88,7 +90,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, rank: int = 8, steps: int =
     ok = to[inverse] >= 0
     x[of[ok], to[inverse][ok]] = 1
     rng = np.random.default_rng(7)
-    w0, w, v = 0.0, np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), rank)).astype(np.float32)
+    # A strong term starts at half its log-odds: texts mostly hold several, and one alone has to do.
+    odds = (np.log((with1[chosen] + 0.5) / (n1 + 1)) - np.log((df - with1)[chosen] + 0.5) + np.log(n0 + 1)).astype(np.float32)
+    w0, w, v = 0.0, np.where((np.abs(odds) > 2) & (z[chosen] > max(6.0, STRONG * z.max(initial=0.0))), odds / 2, 0).astype(np.float32), rng.normal(0, 0.01, (len(chosen), rank)).astype(np.float32)
     g0, gw, gv = 1e-6, np.full_like(w, 1e-6), np.full_like(v, 1e-6)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
     y = y.astype(np.float32)
