@@ -98,8 +98,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
-#: WARC: what is read back, by SQL on the pages.  DuckDB has no base32 of binary, so digests are compared in tests.
-_ORACLES: dict[str, str] = {}
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(5 * i + k + 1 AS BIGINT), 1) AS INTEGER) * (1 << (4 - k)::INTEGER))) AS INTEGER), 1)), '')"
+_NIBBLES = ", ".join(f"'{x:04b}'" for x in range(16))
+
+#: DuckDB SQL of the operators that it can express, by brute force where need be.
+_ORACLES: dict[str, str] = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, h,
+          array_to_string(list_transform(string_split(sha1(h), ''), lambda c: list_extract([{_NIBBLES}], strpos('0123456789abcdef', c))), '') AS bits FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+      SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op2_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r AS (SELECT a AS node, a AS reach FROM (SELECT DISTINCT a FROM l) UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+        c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+      SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.node""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
