@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry as g
 from .groups import sequential
 
 LEADING = ("title", "header")
@@ -78,6 +79,54 @@ def block_type_of_native(y0: Column, y1: Column, x0: Column, x1: Column, lines:
     )
 
 
+def block_type_of_pixels(y0: Column, y1: Column, x0: Column, x1: Column, lines: Column, width: Column, height: Column, median_height: Column) -> Column:
+    """Type of a block found in pixels by its place, width and height."""
+    wide = x1 - x0
+    centred = F.abs((x0 + x1) / 2 - width / 2) <= width * 0.12
+    return (
+        F.when(y0 <= height * 0.12, F.when((lines == 1) & wide.between(width * 0.30, width * 0.80) & (y1 - y0 > median_height * 1.4), "title").otherwise("header"))
+        .when(y1 >= height * 0.86, F.when((lines == 1) & (wide <= width * 0.25) & centred, "page_number").otherwise("footer"))
+        .otherwise(F.when(lines > 1, "paragraph").otherwise("text_line_group"))
+    )
+
+
+def normalize_regions(regions: DataFrame) -> DataFrame:
+    """regions with ``bbox`` and ``polygon`` inside the page and ``problem``, null where the geometry stands.
+
+    Wants bbox, polygon, page_width, page_height and confidence.  A polygon's
+    bounds replace the box.
+    """
+    w, h = F.col("page_width"), F.col("page_height")
+    polygon = g.clip_polygon_points(F.col("polygon"), w, h)
+    out = regions.withColumns({"_clip": g.clip(F.col("bbox"), w, h), "_polygon": polygon})
+    broken = F.when((w <= 0) | (h <= 0), "page_size").when(F.col("polygon").isNotNull() & F.col("_polygon").isNull(), "polygon").when(F.col("confidence").isNotNull() & ~F.col("confidence").between(0.0, 1.0), "confidence")
+    out = out.withColumn("problem", F.coalesce(broken, "_clip.problem"))
+    return out.withColumns({"bbox": F.coalesce(F.when(F.col("_polygon").isNotNull(), g.polygon_box(F.col("_polygon"))), F.col("_clip.box")), "polygon": F.col("_polygon")}).drop("_clip", "_polygon")
+
+
+def words_in_rows(words: DataFrame, key: str) -> DataFrame:
+    """(key, line_index, text, confidence, x0, y0, x1, y1): words joined to the latest line whose centre is near enough.
+
+    Near is 0.7 of the higher of word and line; centres move as words join, so a page's words are taken in order.
+    """
+
+    def join(page: list[dict]) -> list[tuple]:
+        lines: list[list[dict]] = []
+        centre = lambda ws: sum((w["y0"] + w["y1"]) / 2 for w in ws) / len(ws)
+        tall = lambda ws: max(max(1.0, w["y1"] - w["y0"]) for w in ws)
+        for word in page:
+            line = next((ws for ws in reversed(lines) if abs(centre([word]) - centre(ws)) <= 0.7 * max(tall([word]), tall(ws))), None)
+            lines.append([word]) if line is None else line.append(word)
+        out = []
+        for k, ws in enumerate(lines):
+            ws.sort(key=lambda w: w["x0"])
+            known = [w["confidence"] for w in ws if w["confidence"] is not None]
+            out.append((str(page[0][key]), k, " ".join(w["text"] for w in ws), sum(known) / len(known) if known else None, min(w["x0"] for w in ws), min(w["y0"] for w in ws), max(w["x1"] for w in ws), max(w["y1"] for w in ws)))
+        return out
+
+    return sequential(words, [key], ["y0", "x0"], join, f"{key} string, line_index int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+
+
 def gate_confidence(confidence: Column, threshold: float = 0.35) -> Column:
     """Whether a layout region needs review for its confidence."""
     return F.coalesce(confidence < threshold, F.lit(False))

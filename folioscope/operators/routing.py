@@ -82,22 +82,40 @@ def confident(lines: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return lines.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("confidence") >= threshold, F.lit(False))).alias("confident"))
 
 
-def retry_variants(tiny: Column, max_retries: int) -> Column:
-    """Preprocessing variants to try, in order, at most ``max_retries``."""
-    names = lambda *v: F.array(*(F.lit(x) for x in v))
-    return F.slice(F.when(tiny, names("scale_2", "scale_3", "scale_4", "grayscale", "contrast")).otherwise(names("original", "grayscale", "contrast")), 1, max_retries)
+#: providers' labels of each block type.
+LABELS = {
+    "title": "title heading", "header": "header", "paragraph": "paragraph text body_text", "text_line_group": "text_line line line_group", "printed_text": "printed_text",
+    "handwriting": "handwriting handwritten handwritten_text", "table": "table", "form": "form key_value key-value", "formula": "formula equation", "image": "image", "figure": "figure",
+    "caption": "caption", "footer": "footer", "page_number": "page_number page-number", "sidebar": "sidebar", "list": "list list_item", "multi_column": "multi_column multi-column",
+    "tiny_text": "tiny_text", "unknown": "unknown",
+}
+LOW_LAYOUT_CONFIDENCE = 0.5
 
 
 def normalize_label(label: Column) -> Column:
-    """A provider's label in lower case with single underscores."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), r"[\s\-/]+", "_"), "_+", "_")
+    """A provider's label in lower case, its words and slashes joined by underscores; unknown for none."""
+    tidy = F.regexp_replace(F.replace(F.lower(tx.strip(label)), F.lit("/"), F.lit("_")), f"{tx.SPACE}+", "_")
+    return F.coalesce(F.nullif(tidy, F.lit("")), F.lit("unknown"))
 
 
-def map_labels(regions: DataFrame, label_map: DataFrame) -> DataFrame:
-    """regions with block_type and needs_review by the provider's label; unknown labels need review.
+def classify_labels(regions: DataFrame, label: str = "label", confidence: str = "confidence") -> DataFrame:
+    """regions with block_type, route_hint, text_type, needs_review and flags by the provider's label.
 
-    ``label_map`` (label, block_type) is a fixed small dimension.
+    An unknown label is never taken for text: it needs review.
     """
-    known = F.broadcast(label_map.limit(1000).withColumnRenamed("block_type", "_type"))
-    out = regions.withColumn("label", normalize_label(F.col("label"))).join(known, "label", "left")
-    return out.withColumns({"block_type": F.coalesce("_type", F.lit("unknown")), "needs_review": F.col("_type").isNull()}).drop("_type")
+    name, block = normalize_label(F.col(label)), F.lit(None).cast("string")
+    for kind, names in LABELS.items():
+        block = F.when(name.isin(*names.split()), kind).otherwise(block)
+    out = regions.withColumn("_block", block)
+    known, weak = F.col("_block").isNotNull(), F.coalesce(F.col(confidence) < LOW_LAYOUT_CONFIDENCE, F.lit(False))
+    same = F.col("_block").isin("handwriting", "table", "form", "formula", "tiny_text", "unknown")
+    one = lambda code: F.array(F.lit(code))
+    return out.withColumns(
+        {
+            "block_type": F.coalesce("_block", F.lit("unknown")),
+            "route_hint": F.when(~known, "unknown").when(same, F.col("_block")).when(F.col("_block").isin("image", "figure"), "image").otherwise("printed_text"),
+            "text_type": F.when(F.col("_block") == "handwriting", "handwritten").when(~known | F.col("_block").isin("table", "form", "image", "figure", "unknown"), "unknown").otherwise("printed"),
+            "needs_review": ~known | weak,
+            "uncertainty_flags": F.when(~known, one("unknown_provider_class")).when(weak, one("low_layout_confidence")).otherwise(F.array().cast("array<string>")),
+        }
+    ).drop("_block")
