@@ -6,6 +6,7 @@ folder that the driver and all executors share on a cluster.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,13 +23,18 @@ HOT_SHARE = 1000
 BROADCAST_ROWS = 5000
 
 _OWN_DIR: list[str] = []
+#: Folders of scratch tables made in this session.
+_ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests in one process)."""
+    """The cluster's shared folder as a full URI; a temporary one only where none is set (tests in one process)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        # A path without a scheme lies in Spark's default file system, which readers outside the JVM don't know.
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="folioscope-"))
     return f"file://{_OWN_DIR[0]}"
@@ -41,6 +47,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _ROOTS.append(self.root)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns what reads it again."""
@@ -52,15 +59,28 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the table that ``cut`` returned as df."""
-        for file in df.inputFiles()[:1]:
-            self.delete(file.rsplit("/", 1)[0])
 
-    def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside, once what was computed from them is written elsewhere."""
+    start = len(_ROOTS)
+    try:
+        yield
+    finally:
+        for root in _ROOTS[start:]:
+            _delete(spark, root)
+        del _ROOTS[start:]
+
+
+def purge(spark: SparkSession) -> None:
+    """Deletes all scratch tables of the session; results that were not written yet are lost with them."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

@@ -37,9 +37,11 @@ BLOCK = frozenset(
 NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea input label iframe object svg canvas audio video dialog menu title datalist".split())
 #: Words in class, id and role that mark what isn't main text.
 _BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|billboard|breadcrumbs?|comments?|commentlist|commentary|consent|contentinfo|complementary|cookies?|copyright|discuss\w*|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|logo|brand|tagline|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|replies|reply|respond|rss|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|topbar|widget)\d*(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|alert\w*|dialog|adsense|adslot|banner|billboard|breadcrumbs?|comments?|commentlist|commentary|consent|contentinfo|complementary|cookies?|copyright|discuss\w*|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|logo|brand|tagline|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|replies|reply|respond|rss|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|topbar|widget)\d*(?:$|[\s_-])",
     re.I,
 )
+#: What says that an element stands beside something, or heads the article itself.
+_BESIDE = re.compile(r"\b(?:has|no|with|without|show|hide|is)[_-][\w-]+|\b(?:article|entry|post|story)[_-](?:header|masthead|tags?)\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story)(?:$|[\s_-])", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:article(?:[\s_-]?(?:body|content|text))?|articlebody|entry-content|post-content|post-body|story-body|main-content)(?:$|\s)", re.I)
@@ -112,7 +114,7 @@ class _Lines(HTMLParser):
                 elif key == "hidden" or key == "style" and value and _HIDDEN.search(value) or key == "aria-hidden" and value == "true":
                     barred = True
             if named:
-                named = _CAMEL.sub("-", named)
+                named = _BESIDE.sub("", _CAMEL.sub("-", named))
                 if _BODY.search(named):
                     article = True
                 if _BAD.search(named) and not (_GOOD.search(named) and tag in ("article", "main")):

@@ -177,6 +177,9 @@ LONG = "This sentence is part of the article and says a good deal about its subj
         (f"<div id=header>Site</div><div class='content'><h2>H</h2><p>{LONG}<p>a<b>b</b>\n  c<br>d</div><div class='sidebar'><p>{LONG}</p></div><div id='comments'><p>{LONG}</p></div>", f"H\n{LONG.strip()}\nab c d"),
         (f"<body><ul class=menu><li><a>One</a><li><a>Two</a></ul><p>{LONG}</p><form>Name <input></form><div class='ad-box'>{LONG}</div><p>{LONG}</p><script>var t='</p>';</script></body>", f"{LONG.strip()}\n{LONG.strip()}"),
         (f"<main><p>{LONG}</p><aside>{LONG}</aside><div class=cookieBanner>{LONG}</div><p>&lt;end&gt; &#233;</p></main>", f"{LONG.strip()}\n<end> é"),
+        (f"<div class='page has-sidebar'><header class=top><h2>Site</h2></header><div class=post-header><h1>Head</h1></div><p>{LONG}</p></div>", f"Head\n{LONG.strip()}"),
+        (f"<article><header><h1>Own head</h1></header><p>{LONG}</p><section class=reader-comments><p>{LONG}</p></section></article>", f"Own head\n{LONG.strip()}"),
+        (f"<p>{LONG}<script>x('<p>')</script> tail</p>", f"{LONG.strip()} tail"),
         ("", ""),
         (None, ""),
         ("<p>", ""),
