@@ -104,7 +104,8 @@ def map_unprotected_digits(text: Column, policy: str) -> Column:
     pieces = F.split(text, PROTECTED, -1)
     tokens = F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(0))
     joined = F.zip_with(pieces, tokens, lambda p, t: F.concat(map_digits(p, policy), F.coalesce(t, F.lit(""))))
-    return F.array_join(joined, "")
+    # Splitting compiles the pattern for every row: texts without a digit go round it.
+    return F.when(text.rlike(f"[{ASCII_DIGITS}{ARABIC_DIGITS}{PERSIAN_DIGITS}]"), F.array_join(joined, "")).otherwise(text)
 
 
 def line_breaks(text: Column, policy: str) -> Column:

@@ -150,7 +150,7 @@ def verify(candidates: DataFrame, keys: list[str], order: str = "attempt_idx", p
     best = F.array_max(F.transform("_pool", lambda x: F.struct(x.confidence.isNotNull().alias("known"), F.coalesce(x.confidence, lit(0.0)).alias("confidence"), x.quality.alias("quality"), (-x.i).alias("early"))))
     step = step.withColumn("_at", F.when(col("_scales"), -best.early).otherwise(col("_pool")[0].i))
     step = step.withColumn("_sel", F.element_at("c", col("_at")))
-    step = step.withColumn("_diffs", F.transform(F.slice("c", 2, policy.max_attempts), lambda x: _difference(col("_first.compared_text"), x.compared_text)))
+    step = step.withColumn("_diffs", F.when(col("_split"), F.transform(F.slice("c", 2, policy.max_attempts), lambda x: _difference(col("_first.compared_text"), x.compared_text))))
     independent = col("independent_evidence_count") >= policy.min_independent
     backends = F.size(F.array_distinct(F.transform("_w", lambda x: x.backend)))
     variants = F.size(F.array_distinct(F.transform("_w", lambda x: x.preprocess_variant)))
