@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, langid, mixing, simhash, toxicity
-from folioscope.llm.common import BROADCAST_ROWS, Scratch
+from folioscope.llm.common import Scratch, scratch_scope
 from folioscope.llm.queries import BPE_VOCABULARY, PIECE_VOCABULARY, vocabulary
 
 #: A document whose language is less likely than this is rejected.
@@ -36,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps of each group of linked fingerprints the document with the smallest id."""
     groups = simhash.near_duplicates(docs, shingle=3, tau=2)
     gone = Scratch(spark, "pipeline").cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Dealt by id, which is even whatever the groups are; the texts are streamed past the ids, not sorted.
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark):
+            docs = scratch.cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
