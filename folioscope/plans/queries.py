@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import hashing
 from ..functions import text as tx
-from ..operators import evaluate, export, fields, governance, layout, matching, metrics, rollup, routing, tables, verify
+from ..operators import evaluate, export, fields, governance, imaging, layout, matching, metrics, rollup, routing, tables, verify
 from ..sources import detect, text_pages
 from ..streaming import jobs
 
@@ -567,3 +567,139 @@ def metric_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.compare(long, baseline, 0.01)
     rounded = {c: F.round(c, 9) for c in ("current", "baseline", "delta")}
     return out.withColumns(rounded)
+
+
+# --- more operators on stand-in rows --------------------------------------------
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN x1 <= x0 OR y1 <= y0 THEN 'not_positive' WHEN least(x1, 100) <= x0 OR least(y1, 80) <= y0 THEN 'not_visible' END AS problem,
+      CASE WHEN least(x1, 100) > x0 AND least(y1, 80) > y0 THEN x0 END AS x0, CASE WHEN least(x1, 100) > x0 AND least(y1, 80) > y0 THEN y0 END AS y0,
+      CASE WHEN least(x1, 100) > x0 AND least(y1, 80) > y0 THEN least(x1, 100) END AS x1, CASE WHEN least(x1, 100) > x0 AND least(y1, 80) > y0 THEN least(y1, 80) END AS y1
+    FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 97 * 2 AS DOUBLE) AS x0, CAST(l_suppkey % 89 AS DOUBLE) AS y0, CAST(l_partkey % 97 * 2 AS DOUBLE) + l_quantity AS x1, CAST(l_suppkey % 89 AS DOUBLE) + l_quantity / 2 + 1 AS y1 FROM lineitem)"""
+)
+def clipped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of items clipped to a page of 100 by 80, or why nothing of them is left."""
+    x, y = (F.col("l_partkey") % 97 * 2).cast("double"), (F.col("l_suppkey") % 89).cast("double")
+    b = g.box(x, y, x + F.col("l_quantity"), y + F.col("l_quantity") / 2 + 1)
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", g.clip(b, F.lit(100.0), F.lit(80.0)).alias("c"))
+    return c.select("l_orderkey", "l_linenumber", "c.problem", "c.box.x0", "c.box.y0", "c.box.x1", "c.box.y1")
+
+
+@query(
+    """SELECT p_partkey, greatest(0, least(511, CAST(floor(p_retailprice / 7) AS INTEGER))) AS x0, greatest(greatest(0, least(511, CAST(floor(p_retailprice / 7) AS INTEGER))) + 1, least(512, CAST(floor(p_retailprice / 7 + p_size / 3 + 0.999) AS INTEGER))) AS x1,
+      CAST(greatest(1, round_even(p_size * 10 * 300 / 72, 0)) AS BIGINT) AS render_width, CASE WHEN greatest(1, round_even(p_size * 10 * 300 / 72, 0)) * greatest(1, round_even(p_size * 14 * 300 / 72, 0)) > 2000000 THEN 'too_many_pixels' END AS problem FROM part"""
+)
+def crops_and_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as regions to crop and pages to render."""
+    left, size = F.col("p_retailprice") / 7, F.col("p_size")
+    b = g.box(left, F.lit(0.0), left + size / 3, F.lit(9.0))
+    crop = imaging.crop_box(b, F.lit(512), F.lit(16))
+    render = imaging.render_dimensions(size * 10, size * 14, F.lit(300), 2_000_000)
+    out = table(spark, sf_dir, "part").select("p_partkey", crop.alias("c"), render.alias("r"))
+    return out.select("p_partkey", "c.x0", "c.x1", F.col("r.width").alias("render_width"), "r.problem")
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size < 10 THEN 'low_contrast' END, CASE WHEN p_size % 6 < 3 THEN 'low_sharpness' END, CASE WHEN abs(p_size % 5 - 2) >= 1 THEN 'skew_detected' END, CASE WHEN p_size % 10 / 10 >= 0.2 THEN 'perspective_suspected' END,
+      CASE WHEN p_size % 4 = 1 THEN 'tiny_text_suspected' END], lambda x: x IS NOT NULL), ';') AS flags FROM part"""
+)
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for pages, their size for what was measured."""
+    s = F.col("p_size")
+    measured = {"contrast": s.cast("double"), "sharpness": (s % 6).cast("double"), "skew": (s % 5 - 2).cast("double"), "perspective": (s % 10) / 10, "background_variation": F.lit(None).cast("double"), "text_scale": F.when(s % 4 == 1, 8.0).otherwise(20.0), "compression": F.lit(None).cast("double")}
+    return table(spark, sf_dir, "part").withColumns(measured).select("p_partkey", F.array_join(imaging.quality_flags(), ";").alias("flags"))
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, list_extract(['Title', 'body text', 'Key/Value', 'figure', 'stamp', 'handwritten', 'TABLE'], CAST(p_size % 7 + 1 AS BIGINT)) AS label, p_size / 50 AS c FROM part)
+    SELECT p_partkey, CASE label WHEN 'Title' THEN 'title' WHEN 'body text' THEN 'paragraph' WHEN 'Key/Value' THEN 'form' WHEN 'figure' THEN 'figure' WHEN 'handwritten' THEN 'handwriting' WHEN 'TABLE' THEN 'table' ELSE 'unknown' END AS block_type,
+      CASE label WHEN 'Title' THEN 'printed_text' WHEN 'body text' THEN 'printed_text' WHEN 'Key/Value' THEN 'form' WHEN 'figure' THEN 'image' WHEN 'handwritten' THEN 'handwriting' WHEN 'TABLE' THEN 'table' ELSE 'unknown' END AS route_hint, label = 'stamp' OR c < 0.5 AS needs_review FROM l"""
+)
+def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for regions with a provider's label and confidence."""
+    names = F.array(*(F.lit(n) for n in ("Title", "body text", "Key/Value", "figure", "stamp", "handwritten", "TABLE")))
+    regions = table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_size") % 7 + 1).cast("int")).alias("label"), (F.col("p_size") / 50).alias("confidence"))
+    return routing.classify_labels(regions).select("p_partkey", "block_type", "route_hint", "needs_review")
+
+
+@query(
+    rf"""WITH {_LINES}, s AS (SELECT doc_id, text, regexp_replace(text, '{_WS}', '', 'g') AS bare FROM lines), c AS (SELECT doc_id, length(bare) AS n, length(bare) - length(regexp_replace(bare, '{_ODD}', '', 'g')) AS odd, length(text) - length(regexp_replace(text, '[\p{{L}}\p{{N}}]', '', 'g')) AS good FROM s),
+      d AS (SELECT doc_id, sum(n) AS n, sum(odd) AS odd, sum(good) AS good, count(*) AS k FROM c GROUP BY 1)
+    SELECT doc_id, CAST(n AS BIGINT) AS characters, CASE WHEN n = 0 THEN 'no_native_text' WHEN n < 5 THEN 'native_text_too_sparse' WHEN odd / n > 0.2 THEN 'native_text_suspicious' WHEN good / n < 0.5 THEN 'native_text_implausible' ELSE 'reliable_native_text' END AS reason FROM d"""
+)
+def native_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's text could stand as native text of one page."""
+    lines = lines_of(spark, sf_dir).select("doc_id", "text", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), text_pages.line_box(F.col("line_index")).alias("box"))
+    return routing.native_evidence(lines, ["doc_id"]).select("doc_id", F.col("characters").cast("long").alias("characters"), "reason")
+
+
+@query(
+    f"""WITH {_LINES} SELECT doc_id AS document_id, string_agg(text, chr(10) ORDER BY line_index) FILTER (line_index % 7 <> 3) || chr(10) AS text FROM lines GROUP BY doc_id HAVING count(*) FILTER (line_index % 7 <> 3) > 0"""
+)
+def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents exported as text; every seventh is uncertain and left out."""
+    none, word = F.lit(None).cast("string"), F.array().cast("array<string>")
+    items = lines_of(spark, sf_dir).select(
+        F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.lit(0).alias("block_order"), F.col("line_index").alias("position"), F.lit(None).cast("int").alias("cell_row"), F.lit(None).cast("int").alias("cell_column"),
+        F.col("text").alias("raw_text"), none.alias("corrected_text"), F.when(F.col("line_index") % 7 == 3, "uncertain").otherwise("verified").alias("status"), F.lit(False).alias("needs_review"), word.alias("flags"), word.alias("reason_codes"),
+    )
+    return export.document_text(export.pages_text(items, items))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber % 3 AS r, l_linenumber % 2 AS c, l_returnflag AS t FROM lineitem), p AS (SELECT l_orderkey, r, c, arg_max(l, idx) AS l FROM (SELECT l_orderkey, l_linenumber % 3 AS r, l_linenumber % 2 AS c, CASE l_linestatus WHEN 'O' THEN 'N' ELSE 'R' END AS l, l_extendedprice AS idx FROM lineitem) GROUP BY 1, 2, 3)
+    SELECT l_orderkey, count(*) AS reference_cells, count(*) FILTER (t = l) AS matches FROM r LEFT JOIN p USING (l_orderkey, r, c) GROUP BY 1"""
+)
+def cell_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as cells of an order's table: the flag is the truth, the status the prediction."""
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("row"), (F.col("l_linenumber") % 2).alias("column"), F.col("l_extendedprice").alias("idx"), F.lit(None).cast("string").alias("normalized_text"), "l_returnflag", F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("p"))
+    return matching.cell_accuracy(c.withColumn("raw_text", F.col("l_returnflag")), c.withColumn("raw_text", F.col("p")), ["l_orderkey"])
+
+
+@query("SELECT d.doc_id, 'left' AS side FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT DISTINCT l.doc_id, 'right' FROM labels l ANTI JOIN documents d ON d.doc_id = l.doc_id")
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and labels stand for reference and prediction: ids that only one side has."""
+    return matching.same_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(
+    """SELECT item_id, length(text) AS n, upper(substr(text, 1, 1)) = substr(text, 1, 1) AS capital, CASE WHEN length(text) > 0 THEN CAST(strpos(text, ' ') > 0 AS BOOLEAN) END AS several,
+      '[accepted;review] ' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), chr(10), ' ') AS entry FROM benchmark"""
+)
+def markdown_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference texts escaped for Markdown, with a status label."""
+    t = F.col("text")
+    entry = F.concat(F.lit("["), export.status_label(F.lit("accepted"), F.lit(True)), F.lit("] "), export.escape_markdown(t))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.length(t).cast("long").alias("n"), (F.upper(F.substring(t, 1, 1)) == F.substring(t, 1, 1)).alias("capital"), F.when(F.length(t) > 0, F.instr(t, " ") > 0).alias("several"), entry.alias("entry"))
+
+
+@query("SELECT event_id, least(99.0, greatest(1.0, 5 + (user_id % 30) / greatest(event_id % 20, 1) * 90))::DOUBLE AS percent FROM events")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent of a job with the user's pages done of the event's."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(jobs.progress(F.col("user_id") % 30, F.col("event_id") % 20), 9).alias("percent"))
+
+
+SQL["job_progress"] = SQL["job_progress"].replace("least(99.0", "round(least(99.0").replace("* 90))::DOUBLE", "* 90)), 9)::DOUBLE")
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey, l_linenumber, [1.0 + l_discount, 0, l_quantity, 0, 2, l_tax, 0, 0, 1] AS m FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(m[1] * 10 + m[2] * 20 + m[3], 9)::DOUBLE AS x, round(m[4] * 10 + m[5] * 20 + m[6], 9)::DOUBLE AS y FROM m"""
+)
+def mapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point taken through a mapping made of each item's numbers, composed with the identity."""
+    d = lambda c: c.cast("double")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    m = F.array(d(1 + F.col("l_discount")), zero, d(F.col("l_quantity")), zero, F.lit(2.0), d(F.col("l_tax")), zero, zero, one)
+    identity = F.array(one, zero, zero, zero, one, zero, zero, zero, one)
+    p = g.apply_mapping(g.multiply(m, identity), F.lit(10.0), F.lit(20.0))
+    out = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"))
+    return out.select("l_orderkey", "l_linenumber", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
+
+
+@query()
+def words_in_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as words of an order's page, joined to lines with a moving centre."""
+    w = _boxes(spark, sf_dir, "word").select("l_orderkey", F.col("word_id").cast("string").alias("text"), F.lit(0.5).alias("confidence"), "word_box.*")
+    return layout.words_in_rows(w, "l_orderkey")
