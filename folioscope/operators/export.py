@@ -126,3 +126,37 @@ def _same_name():
 def write(df: DataFrame, path: str, form: str = "json", partition_by: tuple[str, ...] = ()) -> None:
     """Writes an export below ``path``; an existing one is never overwritten (Spark commits it whole or not at all)."""
     df.write.mode("errorifexists").partitionBy(*partition_by).format(form).save(path)
+
+
+def document_json(documents: DataFrame, pages: DataFrame, blocks: DataFrame, lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(document_id, json): the whole tree of each document, whatever the export policy.
+
+    Children are ordered: pages by number, blocks by block_order, lines by
+    position, cells by row and column.  Each level is one aggregation by its
+    parent; a page's content is gathered, a corpus never.
+    """
+
+    def under(parents: DataFrame, children: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+        entry = F.struct(*order, F.struct(*(c for c in sorted(children.columns) if c not in keys)).alias("_v"))
+        listed = children.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_v"]).alias(name))
+        out = parents.join(listed, keys, "left")
+        return out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+
+    block_keys = ["document_id", "page_number", "block_order"]
+    tree = under(blocks, lines, block_keys, ["position"], "lines")
+    if cells is not None:
+        tree = under(tree, cells, block_keys, ["row", "column"], "table_cells")
+    tree = under(pages, tree, block_keys[:2], ["block_order"], "blocks")
+    tree = under(documents, tree, ["document_id"], ["page_number"], "pages")
+    return tree.select("document_id", F.to_json(F.struct(*sorted(tree.columns)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def page_manifests(pages: DataFrame, lines: DataFrame, policy: str) -> DataFrame:
+    """(document_id, page_number, manifest): each page with its eligible lines, in order, as JSON."""
+    ok = eligible(policy, F.col("status"), F.col("needs_review"), F.col("flags"), F.col("reason_codes"))
+    keys = ["document_id", "page_number"]
+    entry = F.struct("block_order", "position", F.struct(*(c for c in sorted(lines.columns) if c not in keys)).alias("_v"))
+    kept = lines.where(ok).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_v"]).alias("lines"))
+    out = pages.join(kept, keys, "left")
+    out = out.withColumn("lines", F.coalesce("lines", F.array().cast(out.schema["lines"].dataType)))
+    return out.select(*keys, F.to_json(F.struct(*sorted(out.columns))).alias("manifest"))

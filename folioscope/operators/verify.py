@@ -37,7 +37,7 @@ class Policy:
     max_attempts: int = 3
     min_consensus: int = 2
     min_independent: int = 2
-    verified_threshold: float = 0.95
+    verified_threshold: float = 0.92
     confidence_threshold: float = 0.85
     backend_thresholds: Mapping[str, float] = field(default_factory=dict)
     min_text_length: int = 1
@@ -51,6 +51,14 @@ class Policy:
     independent_rule: str = "reference"
     allowed_characters: str = ""
 
+    def __post_init__(self) -> None:
+        if not 0 < self.confidence_threshold <= self.verified_threshold <= 1:
+            raise ValueError("thresholds are in 0..1, and the verified one is not below the other")
+        if not 1 <= self.min_consensus <= self.max_attempts or self.min_independent < 1 or self.min_text_length < 1:
+            raise ValueError("a consensus fits the attempts, and counts are positive")
+        if self.independent_rule not in ("reference", "documented"):
+            raise ValueError("unknown rule of independent consensus")
+
 
 def codes(*pairs: tuple[Column, str]) -> Column:
     """The codes whose condition holds, in order."""

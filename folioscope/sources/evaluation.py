@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
+from ..operators.imaging import stage_of
 
 _TEXT = "id: string, raw_text: string, normalized_text: string, bbox: array<double>, reading_order: int"
 _STATE = "verification_status: string, confidence: double, sent_to_verification: boolean"
@@ -44,3 +45,24 @@ def problems(tables: dict[str, DataFrame]) -> DataFrame:
     sized = lines.join(pages.select("document_id", "page_number", "width", "height"), ["document_id", "page_number"])
     outside = sized.where("bbox.x0 < 0 or bbox.y0 < 0 or bbox.x1 > width or bbox.y1 > height or bbox.x0 > bbox.x1 or bbox.y0 > bbox.y1")
     return named(repeated, "repeated_document").unionByName(named(gaps, "page_numbers")).unionByName(named(twice, "repeated_line")).unionByName(named(outside, "box_outside_page"))
+
+
+def predictions(pages: DataFrame, lines: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
+    """pages, lines and cells of processed documents in the shape that ``evaluate`` compares.
+
+    Wants lines with block_order, position, dpi, region_scale and attempts
+    beside their text and state; a page's text is its lines in order.
+    """
+    keys = ["document_id", "page_number"]
+    ordered = F.array_sort(F.collect_list(F.struct("block_order", "position", F.col("raw_text").alias("t"))))
+    text = lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x.t), "\n").alias("page_text"))
+    candidate = lambda a: F.struct(a.backend.alias("backend"), a.raw_text.alias("raw_text"), a.normalized_text.alias("normalized_text"))
+    stage = lambda a: F.struct(stage_of(a.dpi, a.region_scale).alias("stage"), a.raw_text.alias("raw_text"), a.normalized_text.alias("normalized_text"))
+    tiny = F.when(F.col("tiny_text"), F.transform("attempts", stage)).otherwise(F.expr("cast(array() as array<struct<stage: string, raw_text: string, normalized_text: string>>)"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("block_order", "position")) - 1
+    out = lines.select(
+        *keys, at.alias("idx"), F.col("line_id").alias("id"), F.col("position").alias("reading_order"), "raw_text", "normalized_text", "bbox", "tiny_text", F.col("status").alias("verification_status"),
+        (F.size("attempts") > 1).alias("sent_to_verification"), F.transform("attempts", candidate).alias("candidates"), tiny.alias("tiny_text_stages"),
+    )
+    flat = cells.select(*keys, F.col("cell_id").alias("id"), "row", "column", "raw_text", "normalized_text", F.monotonically_increasing_id().alias("idx"))
+    return {"pages": pages.select(*keys).join(text, keys, "left").select(*keys, F.coalesce("page_text", F.lit("")).alias("page_text")), "lines": out, "cells": flat}
