@@ -232,7 +232,12 @@ def with_columns(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Str
     return T.StructType([f for f in schema.fields if f.name not in names] + [T.StructField(n, t, True) for n, t in fields])
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of long texts small, so that a Python worker's memory stays bounded."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Keeps the session's Arrow batches small, by rows and bytes, so that a worker's memory is bounded by one long text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get(_BATCH_BYTES, "") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_BYTES, f"{size}b")
+
+
+_BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
