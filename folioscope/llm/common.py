@@ -236,7 +236,7 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
     """Keeps the session's Arrow batches small, by rows and bytes, so that a worker's memory is bounded by one long text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    if spark.conf.get(_BATCH_BYTES, "") == _BATCH_DEFAULT:
+    if spark.conf.get(_BATCH_BYTES, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_BYTES, f"{size}b")
 
 
