@@ -151,7 +151,7 @@ def test_query_against_sql(spark, sf_dir, name):
     if name not in plans.SQL:
         return
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents labels conversations pages".split():
+    for t in "region nation customer supplier part orders lineitem events documents labels conversations pages benchmark".split():
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = con.execute(plans.SQL[name]).fetchdf()
 
