@@ -66,7 +66,7 @@ class ProductCode:
         """The filters of each unit vector, ascending: all that reach alpha, at least its ``least`` best."""
         products = self._products(x)
         if len(products) == 1:
-            return [np.flatnonzero(p >= min(self.alpha, np.sort(p)[-min(least, len(p))])) for p in products[0]]
+            return [np.flatnonzero(p >= min(self.alpha, np.sort(p)[-min(least, len(p))])).astype(np.int32) for p in products[0]]
         order = [np.argsort(-p, axis=1) for p in products]
         ranked = [np.take_along_axis(p, o, axis=1) for p, o in zip(products, order)]
         out = []
@@ -79,7 +79,7 @@ class ProductCode:
                 limit = np.sort((first[:top, None] + second[None, :top]).ravel())[-min(least, top * top)] - 1e-12
                 reach = np.searchsorted(-second, first - limit, side="right")
             found = [o1[k] * self.words + o2[:r] for k, r in enumerate(reach.tolist()) if r]
-            out.append(np.sort(np.concatenate(found)))
+            out.append(np.sort(np.concatenate(found)).astype(np.int32))
         return out
 
 
@@ -101,6 +101,13 @@ def unit_rows(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, np.int64), rows
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = 512) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; links join rows of equal label at ``threshold`` or more."""
     small_batches(df.sparkSession, 5000)
@@ -112,12 +119,14 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, ProductCode] = {}
         for batch in batches:
-            ids = batch.column(0)
-            at, units = unit_rows(batch.column(1).to_pylist())
+            ids, vectors = batch.column(0), batch.column(1).to_pylist()
+            # Vectors travel in the precision that they came in, and are scaled again where they are compared.
+            kind = "<f4" if pa.types.is_float32(batch.column(1).type.value_type) else "<f8"
+            at, units = unit_rows(vectors)
             by_dim: dict[int, list[int]] = {}
             for k, u in enumerate(units):
                 by_dim.setdefault(len(u), []).append(k)
-            filters: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
+            filters: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
             for dim, some in by_dim.items():
                 code = codes[dim] = codes.get(dim) or ProductCode(dim, words, FILTERS_PER_VECTOR)
                 for k, f in zip(some, code.decode(np.stack([units[k] for k in some]))):
@@ -127,19 +136,19 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                     ids.take(pa.array(at)),
                     batch.column(2).take(pa.array(at)),
                     pa.array([len(u) for u in units], pa.int32()),
-                    pa.array([u.astype("<f8").tobytes() for u in units], pa.binary()),
-                    pa.array(filters, pa.list_(pa.int64())),
+                    pa.array([np.array(vectors[k], kind).tobytes() for k in at.tolist()], pa.binary()),
+                    pa.array(filters, pa.list_(pa.int32())),
                 ],
-                names=["id", "label", "dim", "unit", "filters"],
+                names=["id", "label", "dim", "vector", "filters"],
             )
 
     usable = rows.where("label is not null and id is not null").select("id", "v", F.xxhash64("label").alias("label"))
-    indexed = scratch.cut(usable.mapInArrow(index, "id long, label long, dim int, unit binary, filters array<long>"), "indexed")
-    spread = indexed.select("id", "label", "dim", "unit", "filters", F.explode("filters").alias("filter"))
+    indexed = scratch.cut(usable.mapInArrow(index, "id long, label long, dim int, vector binary, filters array<int>"), "indexed")
+    spread = indexed.select("id", "label", "dim", "vector", "filters", F.explode("filters").alias("filter"))
     spread = blocked(scratch, spread, ["label", "dim", "filter"], "id", block)
     group = ["label", "dim", "filter", "_bi", "_bj"]
     dealt = spread.repartition(*group).sortWithinPartitions(*group)
-    packed = dealt.select(*group, "_b", "id", "unit", "filters")
+    packed = dealt.select(*group, "_b", "id", "vector", "filters")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, found in _groups(batches, group):
@@ -173,14 +182,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             names = batch.schema.names
             n = batch.num_rows
             tags = np.fromiter((next(counter) for _ in range(n)), np.int64, n)
-            for t, u, f in zip(tags.tolist(), batch.column(names.index("unit")).to_pylist(), batch.column(names.index("filters")).to_pylist()):
+            for t, u, f in zip(tags.tolist(), batch.column(names.index("vector")).to_pylist(), batch.column(names.index("filters")).to_pylist()):
                 held[t] = (u, f)
             columns = [batch.column(names.index(c)) for c in (*keys, "_b", "id")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tags)], names=[*keys, "_b", "id", "tag"])
 
     for key, cols in sorted_groups(tagged(), keys, ["_b", "id", "tag"]):
         tags = cols["tag"].tolist()
-        unit = np.stack([np.frombuffer(held[t][0], "<f8") for t in tags])
+        kind = "<f4" if len(held[tags[0]][0]) == 4 * key["dim"] else "<f8"
+        unit = _scaled(np.stack([np.frombuffer(held[t][0], kind) for t in tags]))
         filters = [held[t][1] for t in tags]
         yield key, (cols["id"], unit, cols["_b"], filters)
         for t in [t for t in held if t <= tags[-1]]:
