@@ -100,7 +100,7 @@ def lowest_status(items: DataFrame, keys: list[str], status: str = "status") ->
 
 
 def document_quality(items: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, quality_status, confidence_mean, confidence_min, disagreement_rate, review_count) of each document.
+    """(keys, quality_status, confidence_mean, confidence_min, disagreement_rate, review_count, line_count) of each document.
 
     ``items`` are lines and cells (kind line or cell) and, as kind block, blocks
     without lines; ``disagreement`` is null where there was one candidate.
@@ -115,6 +115,7 @@ def document_quality(items: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(content, F.col("confidence"))).alias("confidence_min"),
         F.coalesce(F.avg(F.when(content, F.col("disagreement"))), F.lit(0.0)).alias("disagreement_rate"),
         review.alias("review_count"),
+        lines.alias("line_count"),
     )
 
 

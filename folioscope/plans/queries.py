@@ -39,9 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input of less than this for each core is dealt out before work on texts: such a file is often one row group, so one task.
+SMALL_BYTES = 16 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt out to all cores if it is small; a large one keeps the splits of its files."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents.text: (doc_id, page_number, line_index, text)."""
-    return text_pages.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text_pages.lines(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 #: SQL for the lines of documents: CR LF, LF and CR end a line; no line after a final end.
@@ -73,7 +85,7 @@ def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def logical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of every document with their synthetic geometry."""
-    out = text_pages.pages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = text_pages.pages(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "page_number", F.col("n_lines").cast("long").alias("n_lines"), F.col("native_lines").cast("long").alias("native_lines"), F.col("characters").cast("long").alias("characters"), "height", F.round("coverage", 12).alias("coverage"))
 
 
@@ -89,13 +101,13 @@ def normalize_builtin_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line breaks, zero-width characters, variants, all digits, collapsed white space, edges."""
     t = F.coalesce(F.col("text"), F.lit(""))
     policy = tx.Normalization(unicode_form=None, digits="preserve", whitespace="collapse", zero_width="remove")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.map_digits(tx.normalize(t, policy), "persian").alias("normalized"))
+    return texts(spark, sf_dir, "documents").select("doc_id", tx.map_digits(tx.normalize(t, policy), "persian").alias("normalized"))
 
 
 @query()
 def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default policy with NFC and protected tokens (SQL engines here lack look-around)."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.coalesce(F.col("text"), F.lit("")), tx.DEFAULT).alias("normalized"))
+    return texts(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.coalesce(F.col("text"), F.lit("")), tx.DEFAULT).alias("normalized"))
 
 
 @query(
@@ -121,9 +133,8 @@ def suspicious_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line stands for a candidate; the document's language is the claim, its visible length the confidence."""
-    docs = table(spark, sf_dir, "documents")
-    out = text_pages.lines(docs.select("doc_id", F.struct("text", "lang").alias("s")).select("doc_id", "s.text"), "doc_id", "text")
+    """Each line stands for a candidate that claims to be English; its visible length is the confidence."""
+    out = lines_of(spark, sf_dir)
     visible = F.length(F.regexp_replace("text", tx.SPACE, ""))
     return out.select("doc_id", "line_index", F.col("text").alias("raw_text"), (F.least(visible, F.lit(100)) / 100).alias("confidence"), F.lit("en").alias("language"))
 
@@ -150,9 +161,8 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = verify.score(_line_candidates(spark, sf_dir))
     review = F.size(F.filter("score_reasons", lambda r: r != "tiny_text")) > 0
     items = scored.select("doc_id", F.lit("line").alias("kind"), F.lit("accepted").alias("status"), review.alias("needs_review"), "confidence", F.lit(None).cast("double").alias("disagreement"))
-    quality = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("line_count"))
     rolled = rollup.document_quality(items, ["doc_id"])
-    return rolled.join(quality, "doc_id").select("doc_id", "quality_status", F.round("confidence_mean", 9).alias("confidence_mean"), "confidence_min", "review_count", "line_count")
+    return rolled.select("doc_id", "quality_status", F.round("confidence_mean", 9).alias("confidence_mean"), "confidence_min", "review_count", "line_count")
 
 
 @query(
@@ -168,7 +178,7 @@ def content_type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page by the standard parser."""
-    return table(spark, sf_dir, "pages").select("page_id", text_pages.visible_text(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", text_pages.visible_text(F.col("html")).alias("text"))
 
 
 #: Accents folded to ASCII on both sides: DuckDB's levenshtein counts bytes.
