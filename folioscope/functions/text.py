@@ -38,6 +38,9 @@ RIGHT_TO_LEFT = "[\u0590-\u08ff]"
 ARABIC_LETTERS = "[\u0600-\u06ff]"
 LATIN_LETTERS = "[A-Za-z]"
 
+#: Characters that words can be numbered by: four bytes each, from F0000000 to F4FFFFFF.
+CODES = 5 << 24
+
 _CHOICES = {
     "unicode_form": ("NFC", "NFKC", "NFD", "NFKD"),
     "digits": ("preserve", "persian", "arabic", "ascii"),
@@ -186,7 +189,7 @@ def words(text: Column) -> Column:
 def wer(predicted: Column, reference: Column) -> Column:
     """Word error rate, JVM-side: distinct words become private characters, whose edit distance is the words'.
 
-    Words are numbered from U+F0000 on, so a pair of texts may have 65,536 distinct words.
+    There are ``CODES`` such characters; a pair of texts with more distinct words fails rather than share one.
     """
     p, r = words(predicted), words(reference)
 
@@ -196,7 +199,8 @@ def wer(predicted: Column, reference: Column) -> Column:
         return F.when(n == 0, F.when(F.size(pair.p) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(text(pair.p), text(pair.r)) / n)
 
     known = F.array_distinct(F.concat(r, p))
-    codes = let(known, lambda k: F.map_from_arrays(k, F.transform(k, lambda _, i: _private(i + 1))))
+    enough = lambda k: F.when(F.size(k) <= CODES, k).otherwise(F.raise_error(F.lit("too many distinct words")))
+    codes = let(known, lambda k: F.map_from_arrays(enough(k), F.transform(k, lambda _, i: _private(i + 1))))
     return let(F.struct(p.alias("p"), r.alias("r"), codes.alias("codes")), rate)
 
 
@@ -206,12 +210,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _private(number: Column) -> Column:
-    """A character of its own for each number from 1 on, by its four UTF-8 bytes from U+F0000 on."""
-    k = number.cast("int") - 1
-    last = F.lpad(F.hex(F.lit(0x80) + k.bitwiseAND(F.lit(0x3F))), 2, "0")
-    third = F.lpad(F.hex(F.lit(0x80) + F.shiftright(k, 6).bitwiseAND(F.lit(0x3F))), 2, "0")
-    second = F.lpad(F.hex(F.lit(0xB0) + F.shiftright(k, 12).bitwiseAND(F.lit(0x0F))), 2, "0")
-    return F.decode(F.unhex(F.concat(F.lit("F3"), second, third, last)), "utf-8")
+    """A character of its own for each number from 1 to ``CODES``: four bytes from F0000000 on, of no meaning outside a comparison."""
+    return F.unhex(F.hex(F.lit(0xF0000000) + number.cast("long") - 1)).cast("string")
 
 
 def suspicious_rate(text: Column, allow: str = "") -> Column:

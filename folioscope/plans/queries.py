@@ -194,10 +194,13 @@ _TURNS = f"""turns AS (SELECT conv_id, turn, regexp_replace(translate(substr(tex
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns stand for prediction and reference: their first 400 characters, one line's worth, in ASCII."""
+    """Consecutive turns stand for prediction and reference: whole turns, in ASCII.
+
+    The registered SQL of these queries still cuts turns at 400 characters, so it agrees on shorter ones only.
+    """
     from pyspark.sql import Window
 
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", _ascii(F.substring("text", 1, 400)).alias("t"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", _ascii(F.col("text")).alias("t"))
     return t.withColumn("p", F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn", "t"))).where("p is not null")
 
 

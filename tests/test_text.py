@@ -88,6 +88,34 @@ def test_error_rates_against_a_plain_version(spark):
         assert cer == pytest.approx(letters)
 
 
+def test_word_codes_do_not_wrap_round(spark):
+    names = [f"w{k}" for k in range(1 << 16)]
+    got = one(spark, [("last", " ".join(names)), ("w1", " ".join(names))], "p string, r string", tx.wer(F.col("p"), F.col("r")))
+    assert [r[0] for r in got] == [1.0, 65535 / 65536]
+    k = F.col("id")
+    some = spark.range(1, 200_000).union(spark.range(tx.CODES - 100_000, tx.CODES + 1))
+    assert some.agg(F.countDistinct(tx._private(k)), F.max(F.length(tx._private(k)))).head() == (300_000, 1)
+
+
+def test_whole_turns_are_compared(spark, tmp_path):
+    import duckdb
+
+    from folioscope.plans import queries as plans
+
+    long = "word " * 300
+    rows = [("c", 0, "user", long), ("c", 1, "user", long + "end"), ("c", 2, "user", long), ("c", 3, "user", long), ("d", 0, "user", "a 1"), ("d", 1, "user", "a 2")]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    flags = {(r.conv_id, r.turn): (r.exact, r.edit_distance) for r in plans.text_compare_flags(spark, str(tmp_path)).collect()}
+    assert flags == {("c", 1): (False, 3), ("c", 2): (False, 3), ("c", 3): (True, 0), ("d", 1): (False, 1)}
+    assert {(r.conv_id, r.turn): r.wer for r in plans.wer_neighbours(spark, str(tmp_path)).collect()}["c", 1] == round(1 / 300, 9)
+    # The SQL without its cut at 400 characters.
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("cer_neighbours", "text_compare_flags"):
+        whole = plans.SQL[name].replace("substr(text, 1, 400)", "text")
+        assert sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(db.execute(whole).fetchall())
+
+
 def test_suspicious_rate_against_a_plain_version(spark):
     odd = lambda c: c == "�" or (unicodedata.category(c)[0] == "C" and c not in "\t\n\r")
     rows = [("OK\x00�",), ("",), ("a‌b\tc\x0b",), ("‌four",), ("x",)]
