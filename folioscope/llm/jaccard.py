@@ -1,0 +1,133 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Texts of equal shingle sets are merged.  MinHash bands name candidates: texts
+that share a band lie in one candidate group, so each text's set travels once,
+to its group.  There pairs are verified exactly on the sets (of 64-bit hashes),
+unless the texts are linked already through others; large groups are cut into
+blocks.  A pair at similarity 0.8 shares no band with a chance of 5e-6.
+
+Edge cases: a text of fewer words than a shingle is one shingle; texts without
+a word are copies of each other; repeated rows keep their own output row; a row
+without id makes no component; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import Scratch, blocked, components, lookup, small_batches
+
+SEED = 42
+BANDS, ROWS = 40, 6
+#: So many shingles meet all hash functions at a time.
+CHUNK = 4096
+_RNG = np.random.default_rng(SEED)
+_A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles; words as in ``simhash.fingerprint``."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(SEED)), np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """A signed number for the set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED + 1)).view(np.int64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One key for each band of the set's MinHash signature; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.min([(found[k : k + CHUNK, None] * _A + _B).min(axis=0) for k in range(0, len(found), CHUNK)], axis=0)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, block: int = 512) -> DataFrame:
+    """(id, component_id) for every row; component_id the smallest id reachable by links of ``threshold`` or more."""
+    small_batches(df.sparkSession)
+    scratch = Scratch(df.sparkSession, "jaccard")
+    src = df.select(id_col, df[text_col].alias("__text"))
+    ids = src.schema[0].dataType
+    schema = T.StructType([T.StructField(id_col, ids), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))], names=[id_col, "node", "bands"])
+
+    docs = scratch.cut(src.mapInArrow(sketch, schema), "sketches")
+    nodes = scratch.cut(docs.where(F.col(id_col).isNotNull()).groupBy("node").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands")), "nodes")
+    keyed = scratch.cut(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    groups = scratch.cut(keyed.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    candidates = lookup(keyed, "band", groups, keyed.count()).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    grouped = components(scratch, candidates)
+    wanted = scratch.cut(grouped.join(nodes.select("node", F.col("first").alias("__id")), "node"), "wanted")
+    # Dealt by id, which is even whatever the groups are; the texts are streamed past the ids, not sorted.
+    texts = src.withColumnRenamed(id_col, "__id").join(wanted.hint("shuffle_hash"), "__id").select("root", "node", "__text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x, shingle) for x in batch.column(2).to_pylist()]
+            # A repeated id can have other texts.
+            own = np.flatnonzero([node_of(x) == node for x, node in zip(found, batch.column(1).to_pylist())])
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([found[k].tobytes() for k in own.tolist()], pa.binary())], names=["root", "node", "found"])
+
+    members = texts.mapInArrow(sets, "root long, node long, found binary").groupBy("root", "node").agg(F.first("found").alias("found"))
+    rows = blocked(scratch, scratch.cut(members, "sets"), ["root"], "node", block)
+    group = ["root", "_bi", "_bj"]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, members in itertools.groupby((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(6)))), key=lambda r: r[:3]):
+            members = list(members)
+            found = [np.frombuffer(r[5], np.uint64) for r in members]
+            a, b = links(found, threshold, np.array([r[3] for r in members]) if key[1] != key[2] else None)
+            number = np.array([r[4] for r in members], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number[a]), pa.array(number[b])], names=["a", "b"])
+
+    dealt = rows.select(*group, "_b", "node", "found").repartition(*group).sortWithinPartitions(*group)
+    true = components(scratch, scratch.cut(dealt.mapInArrow(verify, "a long, b long"), "found"))
+    rooted = scratch.cut(nodes.select("node", "first", "n").join(true, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    mapping = lookup(rooted, "root", scratch.cut(least, "least"), rooted.count(), "m").select("node", "n", "component_id")
+    return lookup(docs.select(id_col, "node").where(F.col(id_col).isNotNull()), "node", scratch.cut(mapping, "mapping"), docs.count()).select(id_col, "component_id").unionByName(
+        docs.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(ids).alias("component_id"))
+    )
+
+
+def links(found: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of ``threshold`` or more that connect all that are so connected; with sides, pairs across only."""
+    n, left, right = len(found), [], []
+    size = np.array([len(x) for x in found])
+    part = np.arange(n)
+    for i in range(n):
+        fits = np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9
+        fits &= np.arange(n) > i
+        if side is not None:
+            fits &= side != side[i]
+        todo, step = np.flatnonzero(fits), 1
+        # Growing steps: a text that links to the first of a large part is not compared with the rest.
+        while len(todo := todo[part[todo] != part[i]]):
+            now, todo, step = todo[:step], todo[step:], step * 2
+            flat = np.concatenate([found[j] for j in now])
+            at = np.minimum(np.searchsorted(found[i], flat), size[i] - 1)
+            both = np.add.reduceat((found[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[now])[:-1]]))
+            for j in now[both >= threshold * (size[i] + size[now] - both) - 1e-9].tolist():
+                left.append(i)
+                right.append(j)
+                part[part == part[j]] = part[i]
+    return np.array(left, np.int64), np.array(right, np.int64)

@@ -1,0 +1,67 @@
+"""Near-duplicates by word shingles, against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from folioscope.llm import jaccard
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def grams(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
+def components(rows):
+    sets, root = [grams(t) for _, t in rows], {i: i for i, _ in rows}
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[rows[a][0]], root[rows[b][0]]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def edited(rnd, words, n):
+    out = list(words)
+    for k in rnd.sample(range(len(out)), n):
+        out[k] = f"new{rnd.random()}"
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_groups_against_brute_force(spark, block):
+    rnd = random.Random(7)
+    texts = [None, "", "one two", "One  TWO", "a b c d e"]
+    for _ in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 400))]
+        for _ in range(7):
+            texts.append(" ".join(edited(rnd, words, rnd.randrange(0, max(2, len(words) // 35)))))
+    rows = list(zip(rnd.sample(range(9999), len(texts)), texts))
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert {r.doc_id: r.component_id for r in out} == components(rows) and len(out) == len(rows)
+
+
+def test_stage_drops_edited_copies(spark, sf_dir):
+    rnd = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(rnd, words, 4))), (3, " ".join(edited(rnd, words, 60)))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == [1, 3]
+
+
+def test_bands_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        x = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        assert (jaccard.bands(np.sort(x[:80])) == jaccard.bands(np.sort(np.concatenate([x[:72], x[82:]])))).any()
+
+
+def test_documents_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = jaccard.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in out} == components([tuple(r) for r in docs.collect()])
