@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by probabilities raked to the source, language and topic targets."""
     celled = mixing.with_cells(docs)
     slim = Scratch(spark, "pipeline").cut(celled.select("_source", "_lang", "_topic", "_tokens"), "cells")
-    cells, *named = mixing.plan(slim)
-    return mixing.sample(celled, cells, named).where("kept").select(*docs.columns)
+    _, table = mixing.plan(slim)
+    return mixing.sample(celled, table).where("kept").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

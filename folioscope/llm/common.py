@@ -55,6 +55,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(_nullable(df.schema)).parquet(path)
 
+    def delete(self) -> None:
+        """Deletes what was written."""
+        _delete(self.spark, self.root)
+        _ROOTS.remove(self.root)
+
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
@@ -111,7 +116,7 @@ def bounded_sample(df: DataFrame, klass: str, id_col: str, rows_per_class: int,
     return df.where(keep).limit(int(1.5 * rows_per_class + 50) * len(share))
 
 
-def lookup(rows: DataFrame, key: str, mapping: DataFrame, n_rows: int, count_col: str = "n") -> DataFrame:
+def lookup(rows: DataFrame, key: str | list[str], mapping: DataFrame, n_rows: int, count_col: str = "n") -> DataFrame:
     """``rows`` inner joined with ``mapping`` (one row per key), safe when one key holds most rows.
 
     ``mapping`` has in ``count_col`` how many of ``rows`` have the key.  Keys

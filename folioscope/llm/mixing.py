@@ -7,9 +7,10 @@ meet the budget, at most 1.  Documents are then taken by a hash of their id, so
 the same ones are taken at each run and in each task that is run again.
 
 Topics are surface kinds of text (see ``topic``), or any column given.  A
-source or language that is null is its own value; sources beyond the
-``MAX_VALUES`` with the most tokens share one cell value, so that the table of
-cells stays bounded.
+source or language that is null is its own value; every source and language has
+cells of its own.  Up to ``DRIVER_CELLS`` cells are raked on the driver; more are
+raked as tables, one dimension after the other, and meet their documents by a
+shuffle.
 
 Edge cases: null and empty texts have no tokens and are taken like others of
 their cell; repeated rows are taken or left together; an empty table gives an
@@ -24,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_ROWS, Scratch, lookup
 
 DIMENSIONS = ("source", "lang", "topic")
-MAX_VALUES = 400
-OTHER = "(other)"
+#: Up to so many cells are raked on the driver.
+DRIVER_CELLS = 100_000
 NONE = "(none)"
 #: Default targets: the observed share of a value to this power, normed to one.
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
@@ -101,15 +102,14 @@ def with_cells(docs: DataFrame, text_col: str = "text", topic_col: Column | None
     return docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_topic": topic(F.col(text_col)) if topic_col is None else topic_col, "_tokens": tokens(F.col(text_col))})
 
 
-def plan(celled: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> tuple[pd.DataFrame, list[str], list[str]]:
-    """The cells with their weight and probability, and the sources and languages named in them."""
-    named = []
-    for c in ("_source", "_lang"):
-        top = celled.groupBy(c).agg(F.sum("_tokens").alias("t")).orderBy(F.desc("t"), c).limit(MAX_VALUES).collect()
-        named.append([r[0] for r in top])
-    cells = celled.groupBy(_pooled("_source", named[0]), _pooled("_lang", named[1]), "_topic").agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).toPandas()
-    cells.columns = [*DIMENSIONS, "tokens", "docs"]
-    cells = cells.sort_values(list(DIMENSIONS), ignore_index=True)
+def plan(celled: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> tuple[pd.DataFrame | None, DataFrame]:
+    """The cells with their weight and probability: on the driver (none if they are too many for it), and as a table."""
+    scratch = Scratch(celled.sparkSession, "mix-plan")
+    found = celled.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    found = scratch.cut(found, "cells")
+    if found.count() > DRIVER_CELLS:
+        return None, plan_tables(scratch, found, targets, budget)
+    cells = found.toPandas().sort_values(list(DIMENSIONS), ignore_index=True)
     numbers, wanted = [], []
     for d in DIMENSIONS:
         values, at = np.unique(cells[d].to_numpy(str), return_inverse=True)
@@ -119,11 +119,68 @@ def plan(celled: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     mass = cells.tokens.to_numpy(float)
     cells["weight"] = rake(np.stack(numbers, axis=1) if len(cells) else np.zeros((0, 3), int), mass, wanted)
     cells["probability"] = calibrate(mass, cells.weight.to_numpy(), budget)
-    return cells, *named
+    rows = [(*map(str, r[:3]), int(r[3]), float(r[4]), float(r[5])) for r in cells[[*DIMENSIONS, "docs", "weight", "probability"]].itertuples(index=False)]
+    return cells, celled.sparkSession.createDataFrame(rows, CELLS)
 
 
-def _pooled(column: str, named: list[str]) -> Column:
-    return (F.when(F.col(column).isin(named), F.col(column)).otherwise(OTHER) if len(named) == MAX_VALUES else F.col(column)).alias(column)
+CELLS = "source string, lang string, topic string, docs long, weight double, probability double"
+
+
+def plan_tables(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """What ``rake`` and ``calibrate`` give, for cells of any number; only sums reach the driver."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).head()[0] or 0)
+    if total <= 0:
+        return cells.select(*DIMENSIONS, "docs", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
+    wanted = {}
+    for d in DIMENSIONS:
+        values = cells.groupBy(d).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        if goal := (targets or {}).get(d):
+            named = spark.createDataFrame([(str(k), float(v)) for k, v in goal.items()], f"{d} string, goal double")
+            values = values.join(named, d, "left").withColumn("goal", F.when(F.col("t") > 0, F.coalesce("goal", F.lit(0.0))).otherwise(0.0))
+        else:
+            values = values.withColumn("goal", F.pow(F.col("t") / total, F.lit(TEMPERATURE[d])))
+        values = scratch.cut(values, d)
+        n, goals, held = values.agg(F.count(F.lit(1)), F.sum("goal"), F.sum((F.col("t") > 0).cast("int"))).head()
+        share = F.col("goal") / goals if goals > 0 else (F.col("t") > 0).cast("double") / held
+        wanted[d] = values.select(d, "n", share.alias("share")), n
+    n_cells = cells.count()
+    # A weight is the product of a factor for each dimension, so a step writes the cells anew; the one before goes.
+    now, before = scratch.cut(cells.withColumn("weight", F.lit(1.0)), "weights"), None
+    for _ in range(rounds):
+        worst = 0.0
+        for d, (share, n) in wanted.items():
+            step = Scratch(spark, "mix-step")
+            sums = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("m"))
+            sums = step.cut(share.join(sums, d), "sums")
+            mass = sums.agg(F.sum("m")).head()[0]
+            worst = max(worst, sums.agg(F.max(F.abs(F.col("m") / mass - F.col("share")))).head()[0])
+            factors = sums.select(d, "n", F.when(F.col("m") > 0, F.col("share") * mass / F.col("m")).otherwise(1.0).alias("factor"))
+            met = now.join(F.broadcast(factors.drop("n")), d) if n <= BROADCAST_ROWS else lookup(now, d, factors, n_cells)
+            now = step.cut(met.select(*DIMENSIONS, "tokens", "docs", (F.col("weight") * F.col("factor")).alias("weight")), "weights")
+            if before is not None:
+                before.delete()
+            before = step
+        if worst < tolerance:
+            break
+    mass = now.agg(F.sum(F.col("tokens") * F.col("weight"))).head()[0]
+    now = now.withColumn("weight", F.col("weight") * total / mass)
+    probability = F.lit(1.0)
+    if budget < 1:
+        # Cells at probability 1 stay there as the scale grows, so the scale is exact once no further cell gets there.
+        scale, capped = 0.0, -1
+        while True:
+            full = F.col("weight") * scale >= 1
+            n, sure, rest = now.agg(F.sum(full.cast("int")), F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("weight")))).head()
+            if n == capped:
+                break
+            capped = n
+            if rest <= 0:
+                scale = max(scale, 1e12)
+                break
+            scale = max(scale, min(1e12, (budget * total - sure) / rest))
+        probability = F.least(F.lit(1.0), F.col("weight") * scale)
+    return scratch.cut(now.select(*DIMENSIONS, "docs", "weight", probability.alias("probability")), "planned")
 
 
 def chance(id_col: str, seed: int = SEED) -> Column:
@@ -131,14 +188,13 @@ def chance(id_col: str, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def sample(celled: DataFrame, cells: pd.DataFrame, named: tuple[list[str], list[str]], id_col: str = "doc_id") -> DataFrame:
-    """celled with ``weight``, ``probability`` and ``kept``; the bounded table of cells is broadcast."""
-    spark = celled.sparkSession
-    table = spark.createDataFrame([(*map(str, r[:3]), float(r[3]), float(r[4])) for r in cells[[*DIMENSIONS, "weight", "probability"]].itertuples(index=False)], "_source string, _lang string, _topic string, weight double, probability double")
-    keyed = celled.withColumns({"_s": _pooled("_source", named[0]), "_l": _pooled("_lang", named[1])})
-    table = table.withColumnsRenamed({"_source": "_s", "_lang": "_l"})
+def sample(celled: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """celled with ``weight``, ``probability`` and ``kept``; a small table of cells is broadcast, a large one shuffled."""
     clash = [c for c in ("weight", "probability", "kept") if c in celled.columns]
-    out = keyed.drop(*clash).join(F.broadcast(table), ["_s", "_l", "_topic"], "left").drop("_s", "_l")
+    table, cell = table.withColumnsRenamed({d: f"_{d}" for d in DIMENSIONS} | {"docs": "_docs"}), [f"_{d}" for d in DIMENSIONS]
+    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("_docs"), F.lit(0))).head()
+    rows = celled.drop(*clash)
+    out = rows.join(F.broadcast(table.drop("_docs")), cell, "left") if size[0] <= BROADCAST_ROWS else lookup(rows, cell, table, size[1], "_docs").drop("_docs")
     return out.withColumn("kept", chance(id_col) < F.coalesce("probability", F.lit(1.0)))
 
 
@@ -146,6 +202,6 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     """(id, source, lang, topic, tokens, weight, probability, kept) for every document."""
     slim = with_cells(docs, text_col).select(id_col, "_source", "_lang", "_topic", "_tokens")
     slim = Scratch(docs.sparkSession, "mix").cut(slim, "cells")
-    cells, *named = plan(slim, targets, budget)
-    out = sample(slim, cells, named, id_col)
+    _, table = plan(slim, targets, budget)
+    out = sample(slim, table, id_col)
     return out.select(id_col, F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "weight", "probability", "kept")
