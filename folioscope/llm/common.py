@@ -237,6 +237,19 @@ def with_columns(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Str
     return T.StructType([f for f in schema.fields if f.name not in names] + [T.StructField(n, t, True) for n, t in fields])
 
 
+def portions(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about so many characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size > chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Keeps the session's Arrow batches small, by rows and bytes, so that a worker's memory is bounded by one long text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, crc32_of_id, small_batches, with_columns
+from .common import bounded_sample, crc32_of_id, portions, small_batches, with_columns
 
 #: Labelled rows per language that the model is fitted on, about; the sample's only bound besides SAMPLE_CHARS.
 SAMPLE_ROWS = 200
@@ -251,19 +251,6 @@ class Scorer:
         return self.model.langs[int(np.argmax(log))], float(1 / odds.sum())
 
 
-def _portions(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
-    """The texts in order, in lists of about so many characters."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size > chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def identify(df: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """df with the predicted language of every whole text and its posterior probability; no shuffle."""
     small_batches(df.sparkSession)
@@ -276,7 +263,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", pred_col: str
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found: list[tuple[str, float]] = []
-            for some in _portions(texts):
+            for some in portions(texts):
                 words = [words_of(t or "") for t in some]
                 scorer.learn(words)
                 found += [scorer.predict(w) for w in words]
