@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm import bpe, embed_dedup, html_extract, langid, mixing, queries, reshard, simhash, toxicity, warc
+from folioscope.llm import bpe, embed_dedup, html_extract, langid, mixing, queries, reshard, toxicity, warc
 from folioscope.llm.common import Scratch, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -328,11 +328,14 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
         return model.langs[int(log.argmax())], float(1 / np.exp(log - log.max()).sum())
 
     known = [r for r in clean if language(r["text"])[0] != langid.UND and language(r["text"])[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
-    prints = [simhash.fingerprint(r["text"]) for r in known]
+    grams = []
+    for r in known:
+        words = (r["text"] or "").encode().lower().split()
+        grams.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()})
     root = list(range(len(known)))
     for a in range(len(known)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
                 x, y = root[a], root[b]
                 low, high = (x, y) if known[x]["doc_id"] < known[y]["doc_id"] else (y, x)
                 root = [low if k == high else k for k in root]
