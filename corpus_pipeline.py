@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, jaccard, langid, mixing, toxicity
+from folioscope.llm import bpe, langid, mixing, simhash, toxicity
 from folioscope.llm.common import Scratch, scratch_scope
 from folioscope.llm.queries import BPE_VOCABULARY, PIECE_VOCABULARY, vocabulary
 
@@ -33,11 +33,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of documents linked by five-word shingles the one with the smallest id."""
-    groups = jaccard.near_duplicates(docs, shingle=5, threshold=0.8)
-    gone = Scratch(spark, "pipeline").cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    # Dealt by id, which is even whatever the groups are; the texts are streamed past the ids, not sorted.
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of documents that are linked by five-word shingles at Jaccard 0.8 or more.
+
+    It is the row with the smallest id.  Other rows of that id stay if they are
+    the first of groups of their own; of wholly equal rows one stays; rows
+    without id come after all others.
+    """
+    return simhash.keep_one(docs, shingle=5, threshold=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
