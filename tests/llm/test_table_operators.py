@@ -245,9 +245,53 @@ def test_mix_rows(spark):
 
 
 def test_tokens_and_topics(spark):
-    rows = [("a b  c",), ("  x\ny ",), ("",), (None,), ("\t \n",)]
-    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(mixing.tokens(F.col("t"))).collect()]
-    assert got[1:] == [2, 0, 0, 0] and got[0] >= 3
+    texts = ["a b  c", "  x\ny ", "", None, "\t \n", "sharks Sharks sharks swim often", "planets orbit planets planets", "a\n\nb"]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r for r in mixing.mix(df, budget=1.0).collect()}
+    assert [out[i].tokens for i in range(len(texts))] == [len((t or "").split()) for t in texts] == [3, 2, 0, 0, 0, 5, 4, 2]
+    counts = [np.bincount([mixing._bucket(w) for w in (t or "").split()], minlength=mixing.TOPICS + 1)[: mixing.TOPICS] for t in texts]
+    share = sum(counts) / sum(c.sum() for c in counts)
+    for i, c in enumerate(counts):
+        score = [(n - c.sum() * q) / max(c.sum() * q, 1e-9) ** 0.5 for n, q in zip(c, share)]
+        assert out[i].topic == (f"t{score.index(max(score)):02d}" if c.sum() else mixing.NONE)
+
+
+def test_expected_sample_has_the_targets_under_the_bound():
+    """At a budget where plain scaling takes many cells over 1."""
+    rng = np.random.default_rng(6)
+    cells = np.array([(i, j, k) for i in range(8) for j in range(4) for k in range(5)])
+    mass = rng.lognormal(3, 0.8, len(cells)) * 0.6 ** cells[:, 0] * 0.5 ** cells[:, 1]
+    targets = []
+    for d in range(3):
+        share = (np.bincount(cells[:, d], weights=mass) / mass.sum()) ** 0.7
+        targets.append(share / share.sum())
+    budget = 0.8
+    w = mixing.rake(cells, mass, targets)
+    plain = mixing.calibrate(mass, w, budget)
+    assert (plain == 1).mean() > 0.2
+    p = mixing.rake_bounded(cells, mass, w, targets, budget)
+    assert p.max() <= 1 and (mass * p).sum() == pytest.approx(budget * mass.sum(), rel=1e-6)
+    for d, t in enumerate(targets):
+        held = np.bincount(cells[:, d], weights=mass) / mass.sum()
+        want = mixing.fillable(t, held, budget)
+        got = np.bincount(cells[:, d], weights=mass * p) / (mass * p).sum()
+        assert got == pytest.approx(want, rel=0.01) and want.sum() == pytest.approx(1) and (want * budget <= held + 1e-12).all()
+        short = t * budget > held
+        assert want[short] * budget == pytest.approx(held[short]) and (want[~short] / t[~short]).max() >= 1 - 1e-9
+
+
+def test_marginals_of_a_plan(spark):
+    rnd = random.Random(8)
+    words = [f"term{k}" for k in range(300)]
+    rows = [(i, " ".join(rnd.choices(words[: rnd.choice([20, 300])], k=rnd.randrange(1, 60))), rnd.choices(["en", "de", "es", None], [60, 25, 12, 3])[0], rnd.choices(["a", "b", "c"], [70, 25, 5])[0], None) for i in range(6000)]
+    celled, _ = mixing.cells_of(spark.createDataFrame(rows, DOCS))
+    _, table = mixing.plan(celled)
+    out = mixing.marginals(table).toPandas()
+    assert {"en", "de", "es", mixing.NONE} == set(out[out.dimension == "lang"].value) and out[out.dimension == "topic"].value.nunique() > 10
+    assert (out.target * mixing.BUDGET > out.tokens / (out.tokens.sum() / 3)).any()
+    for d, rows in out.groupby("dimension"):
+        want = mixing.fillable(rows.target.to_numpy(), (rows.tokens / rows.tokens.sum()).to_numpy(), mixing.BUDGET)
+        assert rows.expected.to_numpy() == pytest.approx(want, rel=0.01), d
 
 
 # --- shards -----------------------------------------------------------------------
@@ -342,8 +386,8 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
     single = [r for k, r in enumerate(known) if root[k] == k]
 
     out = spark.createDataFrame(single, docs.schema)
-    celled = mixing.with_cells(out)
-    cells, *named = mixing.plan(celled)
+    celled, _ = mixing.cells_of(out)
+    cells, _ = mixing.plan(celled)
     p = {(r.source, r.lang, r.topic): r.probability for r in cells.itertuples()}
     chance = {r.doc_id: (r.u, r._source, r._lang, r._topic) for r in celled.select("doc_id", mixing.chance("doc_id").alias("u"), "_source", "_lang", "_topic").collect()}
     kept = {r["doc_id"] for r in single if chance[r["doc_id"]][0] < p[chance[r["doc_id"]][1:]]}
