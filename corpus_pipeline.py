@@ -43,11 +43,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by probabilities raked to the source, language and topic targets."""
-    celled = mixing.with_cells(docs)
-    slim = Scratch(spark, "pipeline").cut(celled.select("_source", "_lang", "_topic", "_tokens"), "cells")
-    _, table = mixing.plan(slim)
-    return mixing.sample(celled, table).where("kept").select(*docs.columns)
+    """Samples documents by probabilities raked to the source, language and topic targets.
+
+    Rows of one id are taken or left together; a null source or language is a
+    value of its own; texts without tokens are taken like others of their cell.
+    """
+    return mixing.take(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
