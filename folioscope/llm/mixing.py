@@ -283,7 +283,7 @@ def plan_tables(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str,
                 break
             full, level = count, max(level, (1 - sure) / rest)
         fitting[d] = scratch.cut(values.withColumn("share", F.when(F.col("share") * level >= most, most).otherwise(F.col("share") * level)), f"{d}-fillable"), n
-    return scratch.cut(_rake_tables(planned, "probability", fitting, budget * total, n_cells, True, rounds, tolerance), "raked")
+    return scratch.cut(_rake_tables(planned, "probability", fitting, budget * total, n_cells, True, rounds, 1000 * tolerance), "raked")
 
 
 def _rake_tables(now: DataFrame, column: str, wanted: dict[str, tuple[DataFrame, int]], total: float, n_cells: int, bounded: bool, rounds: int, tolerance: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, html_extract, langid, mixing, reshard, simhash, toxicity, warc, webp
-from .common import crc32_of_id
+from .common import Scratch, crc32_of_id
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -78,12 +78,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grows 32 shards by id hash to 40 of equal row counts, moving the fewest bytes."""
+    """Grows 32 shards by id hash to 40 of equal row counts, moving the fewest bytes; moved rows are those read back."""
     docs = table(spark, sf_dir, "documents")
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    rows = docs.select("doc_id", reshard.size_of(F.col("text")).alias("size"), crc, reshard.old_shard("doc_id").alias("old_shard"))
-    out = reshard.assign(rows)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    size, crc = reshard.size_of(F.col("text")), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", size.alias("size"), crc.alias("text_crc32"), reshard.old_shard("doc_id").alias("old_shard"))
+    stay, written = reshard.rewrite(rows, Scratch(spark, "shards").path("rewritten"))
+    out = stay.unionByName(written.select("doc_id", size.alias("size"), crc.alias("text_crc32"), "old_shard", "shard", "slot"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("shard") != F.col("old_shard")).alias("moved"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

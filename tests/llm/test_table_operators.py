@@ -342,15 +342,58 @@ def test_equal_rows_null_ids_and_empty(spark):
     assert reshard.assign(df.limit(0), shards=4).count() == 0
 
 
-def test_rewrite(spark, tmp_path):
-    rows = [(i, f"t{i}", 20, 0 if i < 40 else 1 + i % 2) for i in range(80)]
-    full = spark.createDataFrame(rows, "doc_id long, text string, size long, old_shard int")
-    placed = reshard.assign(full.drop("text"), shards=4).cache()
-    same = reshard.rewrite(full, placed, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out")).toPandas()
-    want = {r.doc_id: (r.shard, r.slot) for r in placed.collect() if r.shard not in same}
-    assert {i: (s, k) for i, s, k in zip(back.doc_id, back.shard, back.slot)} == want and all(t == f"t{i}" for t, i in zip(back.text, back.doc_id))
-    assert all(old == r.shard for r in placed.collect() if r.shard in same for old in [r.old_shard])
+def fewest_bytes(rows, shards):
+    """Smallest bytes that leave their shard, over all ways to deal the one row more."""
+    held = {}
+    for _, size, old in rows:
+        held.setdefault(old, []).append(size)
+    n, extra = len(rows) // shards, len(rows) % shards
+    cost = lambda j, room: sum(sorted(held.get(j, []))[: max(0, len(held.get(j, [])) - room)])
+    lost = sum(sum(x) for j, x in held.items() if j is None or j >= shards)
+    gain = sorted((cost(j, n + 1) - cost(j, n) for j in range(shards)))
+    first = sum((cost(j, n + (j < extra)) for j in range(shards)))
+    assert first >= sum(cost(j, n) for j in range(shards)) + sum(gain[:extra])
+    return lost + first
+
+
+@pytest.mark.parametrize(("n", "shards", "old"), [(997, 7, 5), (400, 3, 6), (60, 9, 2)])
+def test_fewest_bytes_move(spark, n, shards, old):
+    """Against brute force: with the capacities given, each shard gives its smallest rows."""
+    rnd = random.Random(n)
+    rows = [(i, 16 + int(rnd.lognormvariate(5, 1.5)), rnd.choice([None, *range(old)]) if i % 3 else 0) for i in range(n)]
+    out = reshard.assign(spark.createDataFrame(rows, "doc_id long, size long, old_shard int"), shards=shards).toPandas()
+    moved = out[out.old_shard.isna() | (out.old_shard != out.shard)]["size"].sum()
+    assert moved == fewest_bytes(rows, shards)
+
+
+@pytest.mark.parametrize("hot", [50_000, 20])
+def test_rewrite(spark, tmp_path, monkeypatch, hot):
+    """All rows come back with their texts, whatever their ids; only affected files are written."""
+    monkeypatch.setattr(reshard, "PART_ROWS", hot)
+    rnd = random.Random(3)
+    rows = [(i, "t" * rnd.randrange(1, 400), 0 if i < 240 else 1 + i % 2) for i in range(400)]
+    rows += [(5, "other text of a repeated id", 0), (5, "t", 0), (5, "t", 0), (None, "none", 1), (None, None, None), (None, None, 7)] + [(9, "h" * 84, 0)] * 90
+    full = spark.createDataFrame([(i, t, len(t or "") + 16, o, "c") for i, t, o in rows], "doc_id long, text string, size long, old_shard int, slot string")
+    stay, written = reshard.rewrite(full, str(tmp_path / "out"), shards=4)
+    kept, back = stay.collect(), written.collect()
+    placed = [(r.doc_id, r["size"], r.old_shard) for r in [*kept, *back]]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(placed, key=key) == sorted(((i, len(t or "") + 16, o) for i, t, o in rows), key=key)
+    assert "text" not in stay.columns and all(r.shard == r.old_shard for r in kept)
+    texts = sorted((r.text or "") for r in back)
+    assert len(back) < len(rows) and all(len(r.text or "") + 16 == r["size"] for r in back) and "other text of a repeated id" in texts
+    slots = {}
+    for r in [*kept, *back]:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(map(len, slots.values())) == [124, 124, 124, 124] and all(sorted(x) == list(range(124)) for x in slots.values())
+    moved = sum(r["size"] for r in back if r.old_shard != r.shard)
+    assert moved == fewest_bytes([(i, len(t or "") + 16, o) for i, t, o in rows], 4)
+
+
+def test_rewrite_of_nothing(spark, tmp_path):
+    full = spark.createDataFrame([], "doc_id long, text string, size long, old_shard int")
+    stay, written = reshard.rewrite(full, str(tmp_path / "out"), shards=4)
+    assert stay.collect() == [] and written.collect() == []
 
 
 # --- pipeline -----------------------------------------------------------------------
