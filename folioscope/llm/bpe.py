@@ -100,7 +100,7 @@ def byte_symbols() -> list[str]:
 class ByteBPE:
     """A byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]

@@ -56,12 +56,17 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % TOPICS if len(word) >= TERM_LETTERS else TOPICS
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with ``_tokens`` (words between white space) and ``_terms`` (counts of the buckets of terms)."""
+def measure(docs: DataFrame, text_col: str = "text", shares: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """docs without the text (or whole), with ``_tokens`` (words between white space) and ``_terms`` (counts of the buckets of terms).
+
+    Where the shares of the buckets are known, with ``_topic`` instead of ``_terms``.
+    """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text_col]
     src = docs.select(*kept, text_col)
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("_tokens", T.LongType()), T.StructField("_terms", T.BinaryType())])
+    last = T.StructField("_terms", T.BinaryType()) if shares is None else T.StructField("_topic", T.StringType())
+    n = len(kept) + whole
+    schema = T.StructType([*src.schema.fields[:n], T.StructField("_tokens", T.LongType()), last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -69,14 +74,15 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             tokens, terms = [], []
             for some in portions(batch.column(len(kept)).to_pylist()):
                 words = [(x or "").split() for x in some]
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 known.update((w, _bucket(w)) for w in set().union(*words).difference(known))
                 for w in words:
                     at = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-                    terms.append(np.bincount(at, minlength=TOPICS)[:TOPICS].astype("<u4").tobytes())
+                    terms.append(np.bincount(at, minlength=TOPICS)[:TOPICS])
                     tokens.append(len(w))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(terms, pa.binary())], names=schema.names)
+            found = [x.astype("<u4").tobytes() for x in terms] if shares is None else topics_of(np.array(terms).reshape(-1, TOPICS), shares)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(tokens, pa.int64()), pa.array(found, pa.binary() if shares is None else pa.string())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -374,8 +380,8 @@ def take(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bu
     """
     slim, shares = cells_of(docs.select(id_col, "source", "lang", text_col), text_col)
     _, table = plan(slim, targets, budget)
-    names = [f"__{k}" for k in range(len(docs.columns))]
-    carried = docs.toDF(*names).withColumns({"source": F.col(names[docs.columns.index("source")]), "lang": F.col(names[docs.columns.index("lang")]), "text": F.col(names[docs.columns.index(text_col)])})
-    celled = with_topic(named_cells(measure(carried)), shares)
-    kept = sample(celled, table, names[docs.columns.index(id_col)]).where("kept")
-    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
+    of = dict(zip(docs.columns, names := [f"__{k}" for k in range(len(docs.columns))]))
+    measured = measure(docs.toDF(*names), of[text_col], shares, whole=True)
+    celled = named_cells(measured.withColumns({"source": F.col(of["source"]), "lang": F.col(of["lang"])}))
+    kept = sample(celled, table, of[id_col]).where("kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in of.items()))
