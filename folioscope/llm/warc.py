@@ -12,7 +12,9 @@ the record by its content length, and verifies block and payload digests.
 Edge cases: a null page is an empty payload; equal payloads under one repeated
 page id are each a response; a null page id is written as an empty id and
 reads back as null, and refers to nothing; an empty table gives no archive and
-an empty table; other columns are ignored.
+an empty table; other columns are ignored.  Archives of others are read too:
+records of any type, without digests, or with digests of another kind (verified
+if hashlib has it); what a record does not state comes back as null.
 """
 
 from __future__ import annotations
@@ -51,9 +53,14 @@ class Record:
     def http(self) -> dict[str, str]:
         return _fields(self.block.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:])
 
+    @property
+    def is_http(self) -> bool:
+        return self.headers.get("content-type", "").lower().startswith("application/http")
+
     @property
     def payload(self) -> bytes:
-        return self.block.partition(b"\r\n\r\n")[2]
+        """The body of an HTTP message; the whole block of other records."""
+        return self.block.partition(b"\r\n\r\n")[2] if self.is_http else self.block
 
 
 class DigestError(ValueError):
@@ -64,26 +71,39 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    number = uuid.uuid4() if page_id is None else uuid.UUID(int=page_id & (1 << 64) - 1)
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same for a page and its payload at each run; a page without id has one of its own."""
+    number = uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")
     return f"<urn:uuid:{number}>"
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, level: int = LEVEL) -> bytes:
-    """One record as one gzip member."""
+def digest_holds(stated: str, data: bytes) -> bool:
+    """Whether data has the digest, a labelled one in base32 or hexadecimal; True for kinds that hashlib lacks."""
+    kind, _, value = stated.partition(":")
+    name = kind.strip().lower().replace("-", "")
+    if name not in hashlib.algorithms_available or name.startswith("shake"):
+        return True
+    found = hashlib.new(name, data).digest()
+    return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().lower(), base64.b32encode(found).decode().lower().rstrip("="))
+
+
+def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, first_url: str | None = None, level: int = LEVEL) -> bytes:
+    """One record as one gzip member; ``first_url`` is that of the record that a revisit refers to."""
+    digest = sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", date),
         ("WARC-Target-URI", "".join((url or "").split())),
-        ("WARC-Payload-Digest", f"sha1:{sha1(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{sha1(block)}"),
         ("X-Page-Id", "" if page_id is None else str(page_id)),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Refers-To-Target-URI", "".join(first_url.split()))] if first_url else []
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -141,32 +161,32 @@ def read_records(stream, verify: bool = True) -> Iterator[Record]:
 def check(record: Record) -> None:
     """Raises DigestError unless the stated digests hold (a revisit has no payload of its own)."""
     stated = record.headers.get("warc-block-digest", "")
-    if stated and stated != f"sha1:{sha1(record.block)}":
+    if stated and not digest_holds(stated, record.block):
         raise DigestError(f"block of {record.headers.get('warc-record-id')}")
     stated = record.headers.get("warc-payload-digest", "")
-    if stated and record.headers.get("warc-type") != "revisit" and stated != f"sha1:{sha1(record.payload)}":
+    if stated and record.headers.get("warc-type") != "revisit" and not digest_holds(stated, record.payload):
         raise DigestError(f"payload of {record.headers.get('warc-record-id')}")
 
 
-def first_copies(scratch: Scratch, pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(id, _digest, refers_to) of the pages whose payload, of min_bytes or more, has a smaller page id."""
+def first_copies(scratch: Scratch, pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
+    """(id, _digest, refers_to, first_url) of the pages whose payload, of min_bytes or more, has a smaller page id."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    keyed = scratch.cut(pages.select(id_col, F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("_bytes")), "digests")
+    keyed = scratch.cut(pages.select(id_col, F.col(url_col).alias("_url"), F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("_bytes")), "digests")
     n = F.count(F.lit(1)).alias("n")
-    copies = scratch.cut(keyed.where(F.col("_bytes") >= min_bytes).groupBy("_digest").agg(F.min(id_col).alias("refers_to"), n).where("n > 1 and refers_to is not null"), "copies")
+    copies = scratch.cut(keyed.where(F.col("_bytes") >= min_bytes).groupBy("_digest").agg(F.min(id_col).alias("refers_to"), F.min_by("_url", F.struct(F.col(id_col).isNull(), id_col, "_url")).alias("first_url"), n).where("n > 1 and refers_to is not null"), "copies")
     found = lookup(keyed.select(id_col, "_digest"), "_digest", copies, keyed.count())
-    return scratch.cut(found.where(F.col(id_col) != F.col("refers_to")).select(id_col, "_digest", "refers_to").distinct(), "revisits")
+    return scratch.cut(found.where(F.col(id_col) != F.col("refers_to")).select(id_col, "_digest", "refers_to", "first_url").distinct(), "revisits")
 
 
 def write(pages: DataFrame, scratch: Scratch, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archives all pages below ``folder``; returns the written list (path, records, bytes)."""
     small_batches(pages.sparkSession)
-    revisits = first_copies(scratch, pages, id_col, html_col, min_bytes)
+    revisits = first_copies(scratch, pages, id_col, url_col, html_col, min_bytes)
     few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # The wide side is the streamed one: by a broadcast it is not shuffled, else it is dealt by page id and not sorted.
     marked = F.broadcast(revisits) if few else revisits.hint("shuffle_hash")
     src = pages.select(id_col, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    src = src.withColumn("_digest", F.sha1(F.coalesce("_html", F.lit("")).cast("binary"))).join(marked, [id_col, "_digest"], "left").select(F.col(id_col).cast("long"), "_url", "_html", F.col("refers_to").cast("long"))
+    src = src.withColumn("_digest", F.sha1(F.coalesce("_html", F.lit("")).cast("binary"))).join(marked, [id_col, "_digest"], "left").select(F.col(id_col).cast("long"), "_url", "_html", F.col("refers_to").cast("long"), "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -174,11 +194,11 @@ def write(pages: DataFrame, scratch: Scratch, folder: str, id_col: str = "page_i
         stem = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         out, name, number, records, size = None, "", 0, 0, 0
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, refers_to, first_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, number, records, size = f"{stem}-{number:04d}.warc.gz", number + 1, 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                data = member(page_id, url, (html or "").encode(), refers_to, date)
+                data = member(page_id, url, (html or "").encode(), refers_to, date, first_url)
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:
@@ -192,6 +212,14 @@ def write(pages: DataFrame, scratch: Scratch, folder: str, id_col: str = "page_i
     return scratch.cut(src.mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
+def _payload_bytes(record: Record) -> int | None:
+    """Of a revisit the length that its HTTP head states, else that of the payload itself."""
+    if record.headers.get("warc-type") != "revisit":
+        return len(record.payload)
+    stated = record.http.get("content-length", "") if record.is_http else ""
+    return int(stated) if stated.isdigit() else None
+
+
 def _row(path: str, records: int, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
@@ -229,11 +257,11 @@ def read(spark: SparkSession, archives: DataFrame, columns: tuple[str, ...] = tu
                             {
                                 "page_id": int(h["x-page-id"]) if h.get("x-page-id") else None,
                                 "url": h.get("warc-target-uri"),
-                                "record_type": h["warc-type"],
+                                "record_type": h.get("warc-type"),
                                 "refers_to": int(h["x-refers-to-page-id"]) if h.get("x-refers-to-page-id") else None,
-                                "payload_bytes": int(record.http["content-length"]),
-                                "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"),
-                                "payload": record.payload if "payload" in columns and h["warc-type"] != "revisit" else None,
+                                "payload_bytes": _payload_bytes(record),
+                                "payload_digest": h["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in h else None,
+                                "payload": record.payload if "payload" in columns and h.get("warc-type") != "revisit" else None,
                             }
                         )
                         held += len(record.block)
