@@ -5,10 +5,10 @@ A line has its text, its tags and the names it stands under.  Its ratio is
 characters of text to tags; the ratios are smoothed by a Gaussian along the
 page, and a threshold (from their two-means clustering) parts content from
 the rest.  Lines inside menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments have ratio nothing and are never content.  Content
-lines inside a marked article make that element the region; elsewhere regions
-are runs of content lines, closed over the short lines between them and the
-running-text blocks next to them.
+forms and reader comments have ratio nothing and are never content.  Regions
+grow from every content line: over the short lines between it and the next one
+unless a barred line parts them, and over the running-text blocks next to it up
+to a barred line (inside a marked article past it, where it is an insertion).
 
 Edge cases: null and empty pages, and pages without text, give an empty text;
 broken markup is read as far as the parser goes; repeated rows give equal
@@ -18,6 +18,7 @@ texts; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -40,6 +41,9 @@ _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|alert\w*|dialog|adsense|adslot|banner|billboard|breadcrumbs?|comments?|commentlist|commentary|consent|contentinfo|complementary|cookies?|copyright|discuss\w*|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|logo|brand|tagline|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|replies|reply|respond|rss|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|topbar|widget)\d*(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article an id is mostly the slug of a heading; only these words of it mark what isn't main text.
+_BAD_ID = re.compile(r"(?:^|[\s_-])(?:ads?|comments?|disqus|footer|menu|nav|navbar|newsletter|respond|sidebar)(?:$|[\s_-])", re.I)
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: What says that an element stands beside something, or heads the article itself.
 _BESIDE = re.compile(r"\b(?:has|no|with|without|show|hide|is)[_-][\w-]+|\b(?:article|entry|post|story)[_-](?:header|masthead|tags?)\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -77,6 +81,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.link_chars = self.chars = 0
         self.barred = self.article = self.silent = False
+        self.open: Counter[str] = Counter()
 
     def _flush(self) -> None:
         if self.parts:
@@ -97,7 +102,7 @@ class _Lines(HTMLParser):
             while self.stack and (self.stack[-1][0] == "p" or tag in _CLOSES.get(self.stack[-1][0], ())):
                 if self.stack[-1][0] == "p" and tag not in BLOCK:
                     break
-                self.stack.pop()
+                self.open[self.stack.pop()[0]] -= 1
                 self._top()
         self.tags += 1
         if tag in VOID:
@@ -107,12 +112,16 @@ class _Lines(HTMLParser):
         barred = self.barred or tag in NEVER
         article = self.article or tag in ("article", "main")
         if attrs and tag not in ("html", "body"):
-            named = ""
+            named = slug = ""
             for key, value in attrs:
-                if key in ("class", "id", "role", "itemprop"):
+                if key == "id" and article and self.article:
+                    slug = value or ""
+                elif key in ("class", "id", "role", "itemprop"):
                     named += f" {value or ''}"
                 elif key == "hidden" or key == "style" and value and _HIDDEN.search(value) or key == "aria-hidden" and value == "true":
                     barred = True
+            if slug and tag not in _HEADINGS and _BAD_ID.search(_CAMEL.sub("-", slug)):
+                barred = True
             if named:
                 named = _BESIDE.sub("", _CAMEL.sub("-", named))
                 if _BODY.search(named):
@@ -124,6 +133,7 @@ class _Lines(HTMLParser):
         # An inline element that is barred inside a line that isn't: its text is left out of the line.
         silent = self.silent or (tag not in BLOCK and barred and not self.barred)
         self.stack.append((tag, barred, article, silent))
+        self.open[tag] += 1
         self.barred, self.article, self.silent = barred, article, silent
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -135,9 +145,12 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self._flush()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             name = self.stack[k][0]
             if name == tag:
+                self.open.subtract(x[0] for x in self.stack[k:])
                 del self.stack[k:]
                 self._top()
                 return
@@ -149,7 +162,7 @@ class _Lines(HTMLParser):
             return
         self.parts.append(data)
         self.chars += len(data)
-        if self.stack and any(x[0] == "a" for x in self.stack[-4:]):
+        if self.open["a"]:
             self.link_chars += len(data)
 
     def close(self) -> None:
@@ -195,19 +208,24 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     ratios = np.array([x.ratio() for x in lines])
     level = smooth(ratios, sigma)
     content = (level >= threshold(level)) & (ratios > 0)
-    if any(c and x.article for x, c in zip(lines, content)):
-        # The region is the marked article: every line of it that isn't barred.
-        return "\n".join(x.text for x in lines if x.article and not x.barred)
+    taken = content.copy()
     at = np.flatnonzero(content).tolist()
-    for a, b in zip(at, at[1:]):  # short lines between content lines belong to the region, unless barred lines part them
+    for a, b in zip(at, at[1:]):
         if not any(lines[k].barred for k in range(a + 1, b)):
-            content[a:b] = True
-    for edge, way in ((at[0], -1), (at[-1], 1)) if at else ():  # and so do running-text blocks next to it
-        k = edge + way
-        while 0 <= k < len(lines) and not lines[k].barred and lines[k].block in RUNNING and lines[k].linked < 0.5:
-            content[k] = True
-            k += way
-    return "\n".join(x.text for x, c in zip(lines, content) if c and not x.barred)
+            taken[a:b] = True
+    for edge in at:
+        for way in (-1, 1):
+            k = edge + way
+            while 0 <= k < len(lines) and not taken[k]:
+                if lines[k].barred:
+                    if not (lines[k].article and lines[edge].article):
+                        break
+                elif lines[k].block in RUNNING and lines[k].linked < 0.5:
+                    taken[k] = True
+                else:
+                    break
+                k += way
+    return "\n".join(x.text for x, c in zip(lines, taken) if c and not x.barred)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_col: str = "text") -> DataFrame:
