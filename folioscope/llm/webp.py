@@ -676,17 +676,43 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), cache_bits: int
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
 
+def _entropy(samples: np.ndarray) -> float:
+    """Bits of the samples by their own frequencies, and of the code lengths that tell these."""
+    counts = np.bincount(samples, minlength=256)
+    counts = counts[counts > 0]
+    return float(len(samples) * np.log2(len(samples)) - (counts * np.log2(counts)).sum()) + 5 * len(counts)
+
+
+def choose(samples: np.ndarray) -> tuple[tuple[str, ...], int]:
+    """The transforms of a grey picture (height by width) that are estimated to take the fewest bits, and the predictor's mode.
+
+    A palette for up to 16 values; else green alone, or after prediction by the pixel to the left or above.
+    """
+    flat = samples.ravel()
+    if np.count_nonzero(np.bincount(flat, minlength=256)) <= 16:
+        return ("palette",), 0
+    # The first row is predicted from the left, the first column from above.
+    left = samples.copy()
+    left[:, 1:] -= samples[:, :-1]
+    left[1:, 0] -= samples[:-1, 0]
+    above = left.copy()
+    above[1:] = samples[1:] - samples[:-1]
+    options = [(_entropy(flat), ("subtract_green",), 0), (_entropy(left.ravel()) + 100, ("predictor", "subtract_green"), 1)]
+    if len(samples) > 1:
+        options.append((_entropy(above.ravel()) + 100, ("predictor", "subtract_green"), 2))
+    return min(options)[1:]
+
+
 def store(payload: bytes) -> bytes:
     """The payload as grey pictures: samples in green, and red and blue equal to it by the green transform.
 
-    Payloads of up to 16 byte values are stored with a palette, several samples to a pixel.
+    Each picture has the transforms of ``choose``; a palette holds several samples to a pixel.
     """
     out = []
     for start in range(0, len(payload), WIDTH * HEIGHT):
-        samples = np.frombuffer(payload, np.uint8)[start : start + WIDTH * HEIGHT].astype(np.uint32)
-        pixels = (samples * 0x010101 | 0xFF000000).astype(np.uint32).reshape(-1, WIDTH)
-        few = np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
-        out.append(encode(pixels, ("palette",) if few else ("subtract_green",)))
+        samples = np.frombuffer(payload, np.uint8)[start : start + WIDTH * HEIGHT].reshape(-1, WIDTH)
+        transforms, mode = choose(samples)
+        out.append(encode(samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000), transforms, mode=mode))
     return b"".join(out)
 
 

@@ -1,9 +1,12 @@
 """Archives, vectors, pages, mixing, shards and the pipeline: against brute force on small tables."""
 
 import base64
+import gzip
 import hashlib
 import io
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +67,44 @@ def test_warc_reader_verifies():
         list(warc.read_records(io.BytesIO(short.compress(raw[:-3]) + short.flush())))
 
 
+def foreign(kind, block, *fields):
+    head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:1>"), *fields, ("Content-Length", len(block))])
+    return gzip.compress(b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"
+    hexed = hashlib.sha256(b"body").hexdigest()
+    data = foreign("warcinfo", b"software: x\r\n", ("Content-Type", "application/warc-fields"))
+    data += foreign("request", b"GET / HTTP/1.1\r\n\r\n", ("Content-Type", "application/http; msgtype=request"))
+    data += foreign("response", http, ("Content-Type", "application/http; msgtype=response"), ("WARC-Target-URI", "http://a"))
+    data += foreign("response", http, ("Content-Type", "application/http"), ("WARC-Payload-Digest", f"sha256:{hexed}"), ("WARC-Block-Digest", "rare9:zz"))
+    data += foreign("revisit", b"", ("Content-Type", "application/http"), ("WARC-Payload-Digest", "sha1:" + warc.sha1(b"body").lower()))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    out = warc.read(spark, spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")).collect()
+    assert [(r.record_type, r.url, r.payload_bytes, r.payload_digest, r.payload and bytes(r.payload)) for r in out] == [
+        ("warcinfo", None, 13, None, b"software: x\r\n"),
+        ("request", None, 0, None, b""),
+        ("response", "http://a", 4, None, b"body"),
+        ("response", None, 4, f"sha256:{hexed}", b"body"),
+        ("revisit", None, None, warc.sha1(b"body").lower(), None),
+    ]
+    with pytest.raises(warc.DigestError):
+        list(warc.read_records(io.BytesIO(foreign("resource", b"other", ("WARC-Block-Digest", "md5:" + hashlib.md5(b"x").hexdigest())))))
+
+
+def test_revisits_name_the_record_that_they_refer_to(spark):
+    scratch = Scratch(spark, "test")
+    archives = warc.write(pages(spark, PAGES), scratch, f"{scratch.root}/archives")
+    records = [r for row in archives.collect() for r in warc.read_records(open(row.path.removeprefix("file://"), "rb"))]
+    ids = {r.headers["warc-record-id"]: r.headers for r in records}
+    assert len(ids) == len(records)
+    for h in ids.values():
+        if h["warc-type"] == "revisit":
+            first = ids[h["warc-refers-to"]]
+            assert first["warc-type"] == "response" and first["warc-target-uri"] == h.get("warc-refers-to-target-uri", "") and first["warc-payload-digest"] == h["warc-payload-digest"]
+
+
 # --- vectors -----------------------------------------------------------------------
 
 
@@ -132,6 +173,24 @@ def test_odd_vectors(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_repeated_and_missing_ids(spark):
+    """n_links counts rows; a row without id is linked and not kept."""
+    rng = np.random.default_rng(4)
+    x, y = ([float(np.float32(c)) for c in rng.normal(size=16)] for _ in range(2))
+    rows = [(1, x, 0), (1, x, 0), (2, x, 0), (3, y, 0), (3, x, 1), (None, y, 0), (None, [1.0] * 16, 0), (9, y, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = sorted(((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in embed_dedup.near_duplicates(df).collect()))
+    assert out == [(-1, 0, -1, False), (-1, 1, 3, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 1, 3, True), (9, 0, 9, True)]
+    hot = spark.createDataFrame([(i, x, 0) for i in range(3000)], "vec_id long, embedding array<float>, label int")
+    assert {tuple(r)[1:3] for r in embed_dedup.near_duplicates(hot).collect()} == {(2999, 0)}
+
+
+@pytest.mark.parametrize(("dim", "n"), [(64, 6_000), (64, 1_000_000), (16, 50_000)])
+def test_pairs_at_the_threshold_share_a_filter(dim, n):
+    code = embed_dedup.ProductCode(dim, *embed_dedup.ProductCode.shape(dim, n, 0.93))
+    assert code.missed(0.93, 1000) <= 2.5 * embed_dedup.MISS
+
+
 def test_list_decoding_finds_all_filters():
     code = embed_dedup.ProductCode(16, 24, 20.0)
     x = np.random.default_rng(3).normal(size=(40, 16))
@@ -199,6 +258,74 @@ def test_smoothing_and_threshold():
     assert level[0] < html_extract.threshold(level) < level[3]
 
 
+def plain_main_text(html):
+    """The same by loops over the parser's lines."""
+    lines = html_extract.lines_of(html)
+    if all(x.barred for x in lines):
+        return ""
+    ratios = [0.0 if x.barred else len(x.text) * (1 - x.linked) / max(1, x.tags) for x in lines]
+    level = []
+    for i in range(len(lines)):
+        near = [(math.exp(-((i - j) ** 2) / 2), r) for j, r in enumerate(ratios) if abs(i - j) <= 3]
+        level.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    roots = [x**0.5 for x in level]
+    low, high, cut = min(roots), max(roots), 0.0
+    if high - low >= 1e-9:
+        for _ in range(20):
+            mid = (low + high) / 2
+            a, b = [x for x in roots if x < mid], [x for x in roots if x >= mid]
+            now = (sum(a) / len(a) if a else low, sum(b) / len(b) if b else high)
+            if now == (low, high):
+                break
+            low, high = now
+        cut = ((low + high) / 2) ** 2
+    core = {i for i in range(len(lines)) if level[i] >= cut - 1e-9 * cut and ratios[i] > 0}
+    taken = set(core)
+    for i in sorted(core):
+        later = [j for j in core if j > i]
+        if later and not any(lines[k].barred for k in range(i, min(later))):
+            taken |= set(range(i, min(later)))
+    for i in core:
+        for way in (-1, 1):
+            for k in range(i + way, len(lines) if way > 0 else -1, way):
+                x = lines[k]
+                if k in core or not (x.article and lines[i].article if x.barred else k in taken or (x.linked < 0.5 and x.block in html_extract.RUNNING)):
+                    break
+                taken |= set() if x.barred else {k}
+    return "\n".join(lines[i].text for i in sorted(taken) if not lines[i].barred)
+
+
+def test_selection_against_a_plain_version():
+    rnd = random.Random(12)
+    words = "some words of a text that goes on and on".split()
+    for _ in range(300):
+        body = ""
+        for _ in range(rnd.randrange(1, 14)):
+            text = " ".join(rnd.choices(words, k=rnd.choice([1, 3, 12, 60])))
+            tag = rnd.choice(["p", "p", "p", "li", "div", "h2", "span"])
+            more = rnd.choice(["", "", "", " class=ad", " id=discussion", " class=sidebar"])
+            body += f"<{tag}{more}>{f'<a href=x>{text}</a>' if rnd.random() < 0.2 else text}</{tag}>"
+        page = f"<article>{body}</article>" if rnd.random() < 0.4 else f"<div>{body}</div>"
+        assert html_extract.main_text(page) == plain_main_text(page)
+
+
+def test_marked_articles_and_plain_ones_are_the_same():
+    page = f"<nav>Home</nav><article><h1>Head</h1><p>{LONG}</p><div class=ad>{LONG}</div><p>Short.</p><h2 id='related-work'>Related work</h2><p>{LONG}</p><section id='discussion'><p>{LONG}</p></section></article><footer>x</footer>"
+    want = "\n".join(["Head", LONG.strip(), "Short.", "Related work", LONG.strip(), LONG.strip()])
+    assert html_extract.main_text(page) == want
+    assert html_extract.main_text(page.replace(" id='discussion'", "").replace(" id='related-work'", "").replace("<article", "<div").replace("</article", "</div")) == want
+
+
+def test_hostile_markup_takes_linear_time():
+    took = []
+    for n in (4000, 16000):
+        page = "<div>" * n + "</span></i></b>" * n + f"<p>{LONG}</p>"
+        start = time.process_time()
+        assert html_extract.main_text(page) == LONG.strip()
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_page_rows(spark):
     rows = [(1, "u", f"<p>{LONG}</p>", "c"), (2, None, None, "c"), (2, "v", "", "c"), (3, "u", f"<p>{LONG}</p>" * 4000, "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -308,6 +308,27 @@ def test_webp_reads_groups_and_references():
     assert webp.decode(stored).tolist() == [[a] * 4 + [b] * 4] * 2
 
 
+def test_webp_reads_a_file_of_another_encoder():
+    """A public one-pixel file that browsers are tested with."""
+    import base64
+
+    pixels = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert pixels.shape == (1, 1) and int(pixels[0, 0]) == 0
+
+
+def test_stored_pictures_use_what_takes_fewest_bits():
+    row = np.random.default_rng(3).integers(0, 256, 576).astype(np.uint8).tobytes()
+    ramp = bytes(k * 7 % 256 for k in range(5760))
+    text = "".join(random.Random(1).choices("etaoin shrdlu,.ABCDEFGHIJK", k=5760)).encode()
+    few = bytes(k % 5 for k in range(576))
+    kinds = [webp.choose(np.frombuffer(x, np.uint8).reshape(-1, 576)) for x in (row * 9, ramp, text, few)]
+    assert kinds == [(("predictor", "subtract_green"), 2), (("predictor", "subtract_green"), 1), (("subtract_green",), 0), (("palette",), 0)]
+    for x in (row * 9, ramp, text, few):
+        assert webp.load(webp.store(x)) == x
+    plain = webp.encode(np.frombuffer(row * 9, np.uint8).reshape(-1, 576).astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000), ("subtract_green",))
+    assert len(webp.store(row * 9)) < len(plain)
+
+
 @pytest.mark.parametrize("cut", [25, 60])
 def test_webp_truncated(cut):
     stored = webp.store(b"some payload of letters " * 48)
