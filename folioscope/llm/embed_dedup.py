@@ -30,7 +30,6 @@ are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,52 +225,50 @@ def _out(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict, tuple]]:
-    """Groups with their vectors as a matrix; filter lists stay ragged, so they travel as positions in a side list."""
-    held: dict[int, list] = {}
-    counter = itertools.count()
+    """Groups with their vectors as a matrix; vectors and filter lists travel as positions in a side list."""
+    held: list[tuple[bytes, np.ndarray]] = []
+    base = 0
 
     def tagged() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            n = batch.num_rows
-            tags = np.fromiter((next(counter) for _ in range(n)), np.int64, n)
-            for t, u, f in zip(tags.tolist(), batch.column(names.index("vector")).to_pylist(), batch.column(names.index("filters")).to_pylist()):
-                held[t] = (u, f)
+            start = base + len(held)
+            lists = batch.column(names.index("filters"))
+            flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+            held.extend(zip(batch.column(names.index("vector")).to_pylist(), (flat[a:b] for a, b in zip(cuts, cuts[1:]))))
             columns = [batch.column(names.index(c)) for c in (*keys, "_b", "node", "n")]
+            tags = np.arange(start, start + batch.num_rows)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tags)], names=[*keys, "_b", "node", "n", "tag"])
 
     for key, cols in sorted_groups(tagged(), keys, ["_b", "node", "n", "tag"]):
-        tags = cols["tag"].tolist()
+        tags = (cols["tag"] - base).tolist()
         kind = "<f4" if len(held[tags[0]][0]) == 4 * key["dim"] else "<f8"
-        unit = _scaled(np.stack([np.frombuffer(held[t][0], kind) for t in tags]))
-        filters = [held[t][1] for t in tags]
-        yield key, (cols["node"], cols["n"], unit, cols["_b"], filters)
-        for t in [t for t in held if t <= tags[-1]]:
-            del held[t]
+        unit = _scaled(np.frombuffer(b"".join([held[t][0] for t in tags]), kind).reshape(len(tags), -1))
+        yield key, (cols["node"], cols["n"], unit, cols["_b"], [held[t][1] for t in tags])
+        if tags[-1] > 4096:
+            del held[: tags[-1] + 1]
+            base += tags[-1] + 1
 
 
-def _links(unit: np.ndarray, n: np.ndarray, filters: list[list[int]], here: int, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(unit: np.ndarray, n: np.ndarray, filters: list[np.ndarray], here: int, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows linked to each vector (a vector stands for ``n``) that are to be counted in this filter, and all links found, as positions."""
     close = unit @ unit.T >= threshold
-    if side is None:
-        np.fill_diagonal(close, False)
-    else:
+    if side is not None:
         close &= side[:, None] != side[None, :]
-    left, right = np.nonzero(np.triu(close))
+    left, right = np.nonzero(np.triu(close, 1))
     if not len(left):
         return np.zeros(len(unit), np.int64), left, right
-    # Pairs that share an earlier filter are counted there.
-    number: dict[int, int] = {}
-    linked = np.unique(np.concatenate([left, right])).tolist()
-    member_row, member_col = [], []
-    for k in linked:
-        for f in filters[k]:
-            if f >= here:
-                break
-            member_row.append(k)
-            member_col.append(number.setdefault(f, len(number)))
-    if number:
-        shared = np.zeros((len(unit), len(number)), np.float32)
-        shared[member_row, member_col] = 1
-        close &= shared @ shared.T == 0
-    return (close @ n).astype(np.int64), left, right
+    # Pairs that share an earlier filter are counted there: a bit for each of these filters.
+    linked = np.unique(np.concatenate([left, right]))
+    earlier = [filters[k][: np.searchsorted(filters[k], here)] for k in linked.tolist()]
+    known, column = np.unique(np.concatenate(earlier), return_inverse=True)
+    bits = np.zeros((len(unit), -(-max(len(known), 1) // 64) * 64), bool)
+    bits[np.repeat(linked, [len(x) for x in earlier]), column] = True
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    counts = np.zeros(len(unit))
+    for start in range(0, len(left), 8192):
+        a, b = left[start : start + 8192], right[start : start + 8192]
+        first = ~(words[a] & words[b]).any(axis=1)
+        a, b = a[first], b[first]
+        counts += np.bincount(a, n[b], len(unit)) + np.bincount(b, n[a], len(unit))
+    return counts.astype(np.int64), left, right
