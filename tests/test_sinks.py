@@ -64,4 +64,5 @@ def test_predictions_feed_the_evaluation_and_its_report(spark):
     body = json.loads(reports.as_json(m, gates, about={"set": "s"}))
     assert body["gates"]["passed"] and [c["category"] for c in body["categories"]] == ["c", "overall"]
     text = reports.as_markdown(m, gates, about={"set": "s"})
-    assert "| Quality gates | `PASS` |" in text and "| overall | 0.0000 |" in text
+    assert "- set: s\n" in text and "- passed: overall, g" in text
+    assert text.index("## c\n") < text.index("## overall\n") and "- cer: 0.0000" in text.split("## overall")[1] and "FAILED" not in text
