@@ -33,7 +33,7 @@ def _uncertain(status: Column, flags: Column, reasons: Column) -> Column:
     independent = verified & F.array_contains(reasons, "independent_backend_consensus")
     soft = F.arrays_overlap(flags, F.lit(list(RETRY_FLAGS))) | F.arrays_overlap(reasons, F.lit(["low_primary_confidence", "tiny_text"]))
     weak = F.arrays_overlap(reasons, F.lit(["insufficient_independent_evidence", "correlated_evidence_only", "insufficient_evidence"]))
-    return F.arrays_overlap(flags, F.lit(BLOCKING_FLAGS)) | F.arrays_overlap(reasons, F.lit(BLOCKING_REASONS)) | (soft & ~independent) | (verified & weak)
+    return F.arrays_overlap(flags, F.lit(list(BLOCKING_FLAGS))) | F.arrays_overlap(reasons, F.lit(list(BLOCKING_REASONS))) | (soft & ~independent) | (verified & weak)
 
 
 def requires_review(status: Column, needs_review: Column, flags: Column, reasons: Column, tiny: Column | None = None) -> Column:

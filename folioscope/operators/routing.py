@@ -82,13 +82,41 @@ def confident(lines: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return lines.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("confidence") >= threshold, F.lit(False))).alias("confident"))
 
 
-#: providers' labels of each block type.
+#: The block type of each label that providers use.
 LABELS = {
-    "title": "title heading", "header": "header", "paragraph": "paragraph text body_text", "text_line_group": "text_line line line_group", "printed_text": "printed_text",
-    "handwriting": "handwriting handwritten handwritten_text", "table": "table", "form": "form key_value key-value", "formula": "formula equation", "image": "image", "figure": "figure",
-    "caption": "caption", "footer": "footer", "page_number": "page_number page-number", "sidebar": "sidebar", "list": "list list_item", "multi_column": "multi_column multi-column",
-    "tiny_text": "tiny_text", "unknown": "unknown",
-}
+    "title": "title",
+    "heading": "title",
+    "header": "header",
+    "paragraph": "paragraph",
+    "text": "paragraph",
+    "body_text": "paragraph",
+    "text_line": "text_line_group",
+    "line": "text_line_group",
+    "line_group": "text_line_group",
+    "printed_text": "printed_text",
+    "handwriting": "handwriting",
+    "handwritten": "handwriting",
+    "handwritten_text": "handwriting",
+    "table": "table",
+    "form": "form",
+    "key_value": "form",
+    "key-value": "form",
+    "formula": "formula",
+    "equation": "formula",
+    "image": "image",
+    "figure": "figure",
+    "caption": "caption",
+    "footer": "footer",
+    "page_number": "page_number",
+    "page-number": "page_number",
+    "sidebar": "sidebar",
+    "list": "list",
+    "list_item": "list",
+    "multi_column": "multi_column",
+    "multi-column": "multi_column",
+    "tiny_text": "tiny_text",
+    "unknown": "unknown",
+}
 LOW_LAYOUT_CONFIDENCE = 0.5
 
 
@@ -104,8 +132,8 @@ def classify_labels(regions: DataFrame, label: str = "label", confidence: str =
     An unknown label is never taken for text: it needs review.
     """
     name, block = normalize_label(F.col(label)), F.lit(None).cast("string")
-    for kind, names in LABELS.items():
-        block = F.when(name.isin(*names.split()), kind).otherwise(block)
+    for kind in dict.fromkeys(LABELS.values()):
+        block = F.when(name.isin(*(x for x, k in LABELS.items() if k == kind)), kind).otherwise(block)
     out = regions.withColumn("_block", block)
     known, weak = F.col("_block").isNotNull(), F.coalesce(F.col(confidence) < LOW_LAYOUT_CONFIDENCE, F.lit(False))
     same = F.col("_block").isin("handwriting", "table", "form", "formula", "tiny_text", "unknown")

@@ -100,7 +100,7 @@ def score(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
         out.withColumn("_pattern", pattern)
         .withColumn("score_reasons", reasons)
         .withColumn("quality", F.when(c["image_quality"].isNull(), base).otherwise((base + unit(c["image_quality"])) / 2))
-        .withColumn("usable", ~F.arrays_overlap("score_reasons", F.lit(FATAL_REASONS)))
+        .withColumn("usable", ~F.arrays_overlap("score_reasons", F.lit(list(FATAL_REASONS))))
         .drop("_pattern")
     )
 
@@ -187,7 +187,7 @@ def verify(candidates: DataFrame, keys: list[str], order: str = "attempt_idx", p
             ),
         )
     )
-    malformed = F.arrays_overlap("_sel.score_reasons", lit(FATAL_REASONS))
+    malformed = F.arrays_overlap("_sel.score_reasons", lit(list(FATAL_REASONS)))
     tiny = col("_sel.tiny_text") & lit(policy.require_tiny_consensus)
     lacking = lit(policy.require_independent) & consensus & ~independent & (col("_low") | tiny)
     overridden = col("_low") & consensus & (independent | lit(not policy.require_independent)) & lit(policy.override_low_confidence) & ~malformed
@@ -201,7 +201,7 @@ def verify(candidates: DataFrame, keys: list[str], order: str = "attempt_idx", p
     score_flags = codes(
         (has(col("_sel.score_reasons"), "low_primary_confidence"), "low_confidence"),
         (has(col("_sel.score_reasons"), "language_script_mismatch"), "language_uncertain"),
-        (F.arrays_overlap("_sel.score_reasons", lit("empty_text short_text suspicious_characters expected_format_mismatch low_image_quality".split())), "manual_review"),
+        (F.arrays_overlap("_sel.score_reasons", lit(["empty_text", "short_text", "suspicious_characters", "expected_format_mismatch", "low_image_quality"])), "manual_review"),
     )
     flags = F.concat(codes((mismatch, "confidence_scale_mismatch"), (col("_split"), "disagreement"), (col("_sel.tiny_text"), "tiny_text")), score_flags, codes((lacking, "independent_evidence_insufficient")))
     step = step.withColumns(
