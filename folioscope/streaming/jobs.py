@@ -15,6 +15,39 @@ from ..functions.hashing import stable_hash
 STATE_RANK = {"queued": 0, "running": 1, "completed": 2, "completed_with_warnings": 2, "failed": 2}
 
 
+#: States that nothing follows.
+TERMINAL = tuple(s for s, r in STATE_RANK.items() if r == max(STATE_RANK.values()))
+
+
+def can_follow(before: Column, after: Column) -> Column:
+    """Whether a job in a state (null: none yet) can be written in another: queued first, a repeat, one step on, or failed at once."""
+    rank = lambda c: F.coalesce(*(F.when(c == s, F.lit(r)) for s, r in STATE_RANK.items()))
+    first = before.isNull() & (after == "queued")
+    return F.coalesce(first | (before == after) | (~before.isin(*TERMINAL) & ((rank(after) == rank(before) + 1) | (after == "failed"))), F.lit(False))
+
+
+def transitions(events: DataFrame, key: str, order: list[str], state: str = "state") -> DataFrame:
+    """events with ``previous``, the state of the job's write before, and ``valid``; a job's writes are few."""
+    from pyspark.sql import Window
+
+    before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
+    return events.withColumn("previous", before).withColumn("valid", can_follow(F.col("previous"), F.col(state)))
+
+
+def overdue(jobs: DataFrame, now: Column, timeout_seconds: float, started: str = "started_at", state: str = "state") -> DataFrame:
+    """Jobs (latest states) that are not over and began longer ago than the timeout; one without a start is not overdue."""
+    late = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(started).cast("timestamp")) >= int(timeout_seconds * 1e6)
+    return jobs.where(~F.col(state).isin(*TERMINAL) & late)
+
+
+def find(jobs: DataFrame, **by: str) -> DataFrame:
+    """The job with the least ``job_id`` among those that match: by idempotency_key, fingerprint, document_id, or any columns."""
+    out = jobs
+    for column, value in by.items():
+        out = out.where(F.col(column) == F.lit(value))
+    return out.orderBy("job_id").limit(1)
+
+
 def fingerprint(checksum: Column, configuration: Column, mode: Column, key: Column) -> Column:
     """Identity of a submission."""
     return stable_hash({"source_checksum": (checksum, "string"), "configuration_hash": (configuration, "string"), "mode": (mode, "string"), "idempotency_key": (key, "string")})
