@@ -189,15 +189,12 @@ def _ascii(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_FOLD), r"[^\x00-\x7F]", "?")
 
 
-_TURNS = f"""turns AS (SELECT conv_id, turn, regexp_replace(translate(substr(text, 1, 400), '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS t FROM conversations),
+_TURNS = f"""turns AS (SELECT conv_id, turn, regexp_replace(translate(text, '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS t FROM conversations),
   pairs AS (SELECT conv_id, turn, t, lag(t) OVER (PARTITION BY conv_id ORDER BY turn, t) AS p FROM turns)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns stand for prediction and reference: whole turns, in ASCII.
-
-    The registered SQL of these queries still cuts turns at 400 characters, so it agrees on shorter ones only.
-    """
+    """Consecutive turns stand for prediction and reference: whole turns, in ASCII."""
     from pyspark.sql import Window
 
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", _ascii(F.col("text")).alias("t"))
@@ -271,14 +268,40 @@ def evidence_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.independence(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_suppkey", "l_returnflag"])
 
 
-@query()
+@query(
+    """WITH c AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_suppkey, l_discount) AS i, 'line ' || l_returnflag AS t, 1.0 - CAST(l_discount AS DOUBLE) AS conf, 'b' || (l_suppkey % 2) AS b FROM lineitem),
+      g AS (SELECT k, t, count(*) AS n, min(i) AS first FROM c GROUP BY 1, 2), win AS (SELECT k, arg_max(t, {'n': n, 'f': -first}) AS t, max(n) AS n, count(*) AS texts FROM g GROUP BY 1),
+      w AS (SELECT c.k, c.b, count(*) AS n FROM c JOIN win USING (k, t) GROUP BY 1, 2), e AS (SELECT k, count(*) AS independent, max(n) AS stable FROM w GROUP BY 1),
+      s AS (SELECT c.k, count(DISTINCT c.b) AS backends, min(conf) >= 0.85 AS all_good, count(*) AS attempts, coalesce(bool_or(conf < 0.85) FILTER (c.t = win.t), false) AS low, any_value(win.n) >= 2 AS consensus, any_value(win.texts) > 1 AS split, any_value(win.t) AS wt FROM c JOIN win USING (k) GROUP BY 1),
+      p AS (SELECT c.k, CASE WHEN s.backends = 1 THEN arg_max(c.i, {'c': conf, 'q': conf, 'e': -c.i}) ELSE min(c.i) END AS pos FROM c JOIN s USING (k) WHERE NOT s.consensus OR c.t = s.wt GROUP BY c.k, s.backends),
+      sel AS (SELECT p.k, p.pos, c.conf, c.conf < 0.85 AS weak FROM p JOIN c ON c.k = p.k AND c.i = p.pos),
+      d AS (SELECT s.*, e.independent, e.stable, sel.pos, sel.conf, sel.weak, s.backends > 1 AND NOT (s.consensus AND s.all_good) AS mismatch, (SELECT count(*) FROM w WHERE w.k = s.k) AS wb FROM s JOIN e USING (k) JOIN sel USING (k)),
+      f AS (SELECT *, independent >= 2 AS ind, independent >= 2 AND wb = 1 AS recorded FROM d),
+      h AS (SELECT *, NOT recorded AND NOT ind AS correlated, consensus AND NOT ind AND low AS lacking, low AND consensus AND ind AS overridden FROM f),
+      u AS (SELECT *, mismatch OR split OR (low AND NOT overridden) OR lacking AS unresolved FROM h),
+      r AS (SELECT *, CASE WHEN unresolved THEN 'human_review_required' WHEN consensus AND (conf >= 0.92 OR overridden) AND ind THEN 'verified' ELSE 'accepted' END AS status,
+        list_filter([CASE WHEN weak THEN 'low_primary_confidence' END, CASE WHEN mismatch THEN 'confidence_scale_mismatch' END, CASE WHEN split THEN 'backend_disagreement' END, CASE WHEN split THEN 'normalized_disagreement' END,
+          CASE WHEN consensus AND wb > 1 THEN 'consensus_across_backends' END, CASE WHEN consensus AND recorded THEN 'independent_backend_consensus' END, CASE WHEN consensus AND correlated THEN 'correlated_evidence_only' END,
+          CASE WHEN consensus AND correlated THEN 'insufficient_independent_evidence' END, CASE WHEN NOT consensus THEN 'insufficient_evidence' END, CASE WHEN low AND NOT weak THEN 'low_primary_confidence' END,
+          CASE WHEN unresolved AND split AND attempts >= (SELECT max(attempts) FROM d) THEN 'retry_exhausted' END], lambda x: x IS NOT NULL) AS reasons FROM u)
+    SELECT k AS l_orderkey, status, 'candidate-' || pos AS selected_candidate_id, array_to_string(list_filter([CASE WHEN mismatch THEN 'confidence_scale_mismatch' END, CASE WHEN split THEN 'disagreement' END,
+      CASE WHEN weak THEN 'low_confidence' END, CASE WHEN lacking THEN 'independent_evidence_insufficient' END], lambda x: x IS NOT NULL), ';') AS flags,
+      CASE WHEN len(reasons) = 0 THEN status ELSE array_to_string(reasons, ';') END AS reason, CAST(stable AS INTEGER) AS stability_count, CAST(independent AS INTEGER) AS independent_evidence_count FROM r"""
+)
 def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole decision: an order is a line, its items are attempts, the flag the text, the supplier the backend."""
-    c = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.col("l_linenumber").alias("attempt_idx"), F.concat(F.lit("line "), "l_returnflag").alias("raw_text"), F.concat(F.lit("line "), "l_returnflag").alias("normalized_text"),
+    """The whole decision: an order is a line, its items are attempts, the flag the text, the supplier the backend.
+
+    All items take part: as many attempts are allowed as the largest order has items.
+    """
+    from pyspark.sql import Window
+
+    items = table(spark, sf_dir, "lineitem")
+    most = items.groupBy("l_orderkey").count().agg(F.max("count")).head()[0] or 2
+    c = items.select(
+        "l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_suppkey", "l_discount")).alias("attempt_idx"), F.concat(F.lit("line "), "l_returnflag").alias("raw_text"), F.concat(F.lit("line "), "l_returnflag").alias("normalized_text"),
         (F.lit(1.0) - F.col("l_discount")).alias("confidence"), F.concat(F.lit("b"), F.col("l_suppkey") % 2).alias("backend"), F.lit("percent").alias("confidence_scale"), F.lit("en").alias("language"), F.lit("Latin").alias("script"),
     )
-    out = verify.verify(c, ["l_orderkey"], policy=verify.Policy(max_attempts=6), nfc=False)
+    out = verify.verify(c, ["l_orderkey"], policy=verify.Policy(max_attempts=max(2, most)), nfc=False)
     return out.select("l_orderkey", "status", "selected_candidate_id", F.array_join("flags", ";").alias("flags"), "reason", "stability_count", "independent_evidence_count")
 
 
