@@ -28,13 +28,15 @@ _ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as a full URI; a temporary one only where none is set (tests in one process)."""
+    """The cluster's shared folder as a full URI; a temporary one only where none is set and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         # A path without a scheme lies in Spark's default file system, which readers outside the JVM don't know.
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
         full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
         return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="folioscope-"))
     return f"file://{_OWN_DIR[0]}"

@@ -86,8 +86,9 @@ class Model:
             if len(w) >= _LONG:
                 out[k] = self._long(_START + w, index)
         short.sort(key=lambda k: -len(words[k]))
-        for start in range(0, len(short), 20_000):
-            rows = short[start : start + 20_000]
+        step = max(500, 160_000 // max(8, len(self.langs)))  # so that the forward sums take the same room for any number of languages
+        for start in range(0, len(short), step):
+            rows = short[start : start + step]
             out[rows] = self._forward([_START + words[k] for k in rows], index)
         return out
 
@@ -222,7 +223,7 @@ class Scorer:
     """A model with a bounded cache of words."""
 
     def __init__(self, model: Model, cache: int = 600_000):
-        self.model, self.cache = model, cache
+        self.model, self.cache = model, cache * 8 // max(8, len(model.langs))
         self.clear()
 
     def clear(self) -> None:
