@@ -27,11 +27,10 @@ ZERO_WIDTH = "\u061c\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 #: White space as Python's str.isspace sees it (Java's \s, even with (?U), leaves out U+001C to U+001F).
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Pattern of tokens whose digits are kept: addresses, separated codes and dates, alphanumeric identifiers.
-_ALNUM = "[A-Za-z0-9٠-٩۰-۹]"
 PROTECTED = (
     r"(?U)(?:(?i:\b(?:https?://|ftp://|www\.)[^\s<>()]+)"
     r"|(?<![\w.+-])[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])"
-    rf"|(?<!\w)(?=[A-Za-z0-9٠-٩۰-۹:/._+-]*\d){_ALNUM}+(?:[-/:._]{_ALNUM}+)+(?!\w)"
+    r"|(?<!\w)(?=[A-Za-z0-9٠-٩۰-۹:/._+-]*\d)[A-Za-z0-9٠-٩۰-۹]+(?:[-/:._][A-Za-z0-9٠-٩۰-۹]+)+(?!\w)"
     r"|(?<!\w)(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]+(?!\w))"
 )
 RIGHT_TO_LEFT = "[\u0590-\u08ff]"

@@ -2,7 +2,9 @@
 
 Rows are dealt by key and sorted inside each partition; the worker walks the
 Arrow batches and hands over one group at a time, so memory holds one group,
-and millions of small groups cost little more than their rows.
+and millions of small groups cost little more than their rows.  A group is a
+page, a table or a line; one of more rows than MAX_GROUP is none, and is an
+error rather than a task without bound.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Rows of a group, at most.
+MAX_GROUP = 500_000
+
+
 def sequential(df: DataFrame, keys: list[str], order: list[str], step: Callable[[list[dict]], list[tuple]], schema: T.StructType | str) -> DataFrame:
     """The rows that ``step`` gives for each group (its rows as dicts, in order), as tuples of ``schema``."""
     if isinstance(schema, str):
@@ -35,6 +41,8 @@ def sequential(df: DataFrame, keys: list[str], order: list[str], step: Callable[
                     held = []
                 at = key
                 held.append(row)
+                if len(held) > MAX_GROUP:
+                    raise ValueError(f"a group of {keys} has more than {MAX_GROUP} rows: {key}")
             if out:
                 yield _batch(out, names, target)
         if held:
