@@ -739,3 +739,107 @@ def words_in_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as words of an order's page, joined to lines with a moving centre."""
     w = _boxes(spark, sf_dir, "word").select("l_orderkey", F.col("word_id").cast("string").alias("text"), F.lit(0.5).alias("confidence"), "word_box.*")
     return layout.words_in_rows(w, "l_orderkey")
+
+
+# --- single operators on stand-in rows --------------------------------------
+
+
+@query(
+    f"""WITH {_BOXES}, p AS (SELECT a.l_orderkey, a.id AS left_id, c.id AS right_id, {_SHARED} AS s, (a.x1 - a.x0) * (a.y1 - a.y0) AS t, (c.x1 - c.x0) * (c.y1 - c.y0) AS u, a.x0 >= c.x0 AND a.y0 >= c.y0 AND a.x1 <= c.x1 AND a.y1 <= c.y1 AS inside
+      FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey WHERE a.id < c.id)
+    SELECT l_orderkey, left_id, right_id, round(s / least(t, u), 9) AS overlap, inside FROM p WHERE s > 0"""
+)
+def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of an order that meet: the overlap of the smaller, and whether the first lies in the second."""
+    left, right = _boxes(spark, sf_dir, "left"), _boxes(spark, sf_dir, "right")
+    both = left.join(right, "l_orderkey").where("left_id < right_id")
+    share, inside = g.overlap_of_smaller(F.col("left_box"), F.col("right_box")), g.inside(F.col("left_box"), F.col("right_box"))
+    return both.where(share > 0).select("l_orderkey", "left_id", "right_id", F.round(share, 9).alias("overlap"), inside.alias("inside"))
+
+
+@query(f"WITH {_BOXES} SELECT l_orderkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_and(x1 <= 120 AND y1 <= 100) AS all_within FROM b GROUP BY 1")
+def box_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest box around an order's boxes, and whether all lie on the page."""
+    b = _boxes(spark, sf_dir, "box")
+    out = b.groupBy("l_orderkey").agg(g.union_of(F.col("box")).alias("u"), F.bool_and(g.within(F.col("box"), F.lit(120.0), F.lit(100.0))).alias("all_within"))
+    return out.select("l_orderkey", "u.*", "all_within")
+
+
+@query(f"WITH {_BOXES} SELECT l_orderkey, id AS box_id, CAST(greatest(0, floor(x0)) AS INTEGER) AS x0, CAST(greatest(0, floor(y0)) AS INTEGER) AS y0, CAST(least(110, ceil(x1)) AS INTEGER) AS x1, CAST(least(90, ceil(y1)) AS INTEGER) AS y1 FROM b")
+def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pixels around every box, inside a picture of 110 by 90."""
+    return _boxes(spark, sf_dir, "box").select("l_orderkey", "box_id", g.pixel_box(F.col("box"), F.lit(110), F.lit(90)).alias("p")).select("l_orderkey", "box_id", "p.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN v BETWEEN 0 AND 1 THEN round(v, 9) END AS printed, round(least(1.0, greatest(0.0, CASE WHEN q > 1 THEN q / 100 ELSE q END)), 9) AS cell FROM (SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) * 15 - 0.1 AS v, CAST(l_quantity AS DOUBLE) * 3 - 5 AS q FROM lineitem)")
+def provider_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts and quantities stand for what providers print as confidences of texts and of cells."""
+    v, q = F.col("l_discount").cast("double") * 15 - 0.1, F.col("l_quantity").cast("double") * 3 - 5
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(tables.provider_confidence(v), 9).alias("printed"), F.round(tables.table_confidence(q), 9).alias("cell"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 20 >= 600 THEN CASE WHEN p_partkey % 3 > 1 THEN 'crop_upscaled' ELSE 'high_dpi' END ELSE 'first_pass' END AS stage FROM part")
+def tiny_text_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for attempts, their size for the resolution and their key for the scale."""
+    return table(spark, sf_dir, "part").select("p_partkey", imaging.stage_of(F.col("p_size") * 20, F.col("p_partkey") % 3).alias("stage"))
+
+
+@query(r"SELECT doc_id, CASE WHEN r AND l THEN 'mixed' WHEN r THEN 'rtl' ELSE 'ltr' END AS direction FROM (SELECT doc_id, regexp_matches(coalesce(text, ''), '[\x{590}-\x{8FF}]') AS r, regexp_matches(coalesce(text, ''), '[A-Za-z]') AS l FROM documents)")
+def reading_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of every document by its letters."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    found = tx.direction(tx.count_matching(t, tx.RIGHT_TO_LEFT), tx.count_matching(t, tx.LATIN_LETTERS))
+    return texts(spark, sf_dir, "documents").select("doc_id", found.alias("direction"))
+
+
+@query("SELECT l_orderkey, bool_and(coalesce(1 - l_discount >= 0.93, false)) AS confident FROM lineitem GROUP BY 1")
+def confident_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for results, their items for lines: confident where all lines are."""
+    return routing.confident(table(spark, sf_dir, "lineitem").select("l_orderkey", (1 - F.col("l_discount")).alias("confidence")), ["l_orderkey"], 0.93)
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, event_id, ['queued', 'running', 'completed', 'failed'][1 + event_id % 4] AS state FROM events), p AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM e)
+    SELECT event_id, previous, state, coalesce((previous IS NULL AND state = 'queued') OR previous = state OR (previous NOT IN ('completed', 'failed') AND (state = 'failed' OR (previous = 'queued' AND state = 'running') OR (previous = 'running' AND state = 'completed'))), false) AS valid FROM p"""
+)
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for jobs, their events for writes of states: which may follow the one before."""
+    state = F.element_at(F.array(*(F.lit(s) for s in ("queued", "running", "completed", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", state.alias("state"))
+    return jobs.transitions(e, "user_id", ["ts", "event_id"]).select("event_id", "previous", "state", "valid")
+
+
+@query(
+    f"""WITH {_BOXES}, w AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS DOUBLE) * 2 - 4 AS c FROM lineitem),
+      t AS (SELECT l_orderkey, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag) AS text, round(avg(c) FILTER (c >= 0) / 100, 9) AS confidence, count(*) AS n_words FROM w GROUP BY 1),
+      u AS (SELECT l_orderkey, min(x0) AS x0, max(y1) AS y1 FROM b GROUP BY 1)
+    SELECT t.l_orderkey, text, confidence, n_words, x0, y1 FROM t JOIN u USING (l_orderkey)"""
+)
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items stand for a recogniser's words, an order for one of its lines."""
+    words = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("word"), F.col("l_returnflag").alias("text"), (F.col("l_quantity").cast("double") * 2 - 4).alias("confidence"),
+        (F.col("l_partkey") % 97).cast("double").alias("x0"), (F.col("l_suppkey") % 89).cast("double").alias("y0"), ((F.col("l_partkey") % 97).cast("double") + F.col("l_quantity")).alias("x1"), ((F.col("l_suppkey") % 89).cast("double") + F.col("l_quantity") / 2 + 1).alias("y1"),
+    )
+    out = tables.words_to_lines(words, ["l_orderkey"])
+    return out.select("l_orderkey", "text", F.round("confidence", 9).alias("confidence"), "n_words", "bbox.x0", "bbox.y1")
+
+
+@query(
+    """WITH d AS (SELECT page_id, octet_length(encode(html)) AS n, 'page-' || page_id || CASE WHEN page_id % 7 = 0 THEN '/x' ELSE '' END || '.html' AS name, CASE WHEN page_id % 5 = 0 THEN 'text/plain' ELSE 'text/html' END AS declared,
+        CASE WHEN regexp_matches(substr(html, 1, 4096), '(?i)<\\s*(?:!doctype\\s+html|html|body|head|title|meta|p|div|span|table|script|main|article)\\b') THEN 'text/html' WHEN regexp_matches(html, '[\\r\\n]') AND trim(html) <> '' THEN 'text/plain' END AS kind FROM pages)
+    SELECT page_id, CASE WHEN n = 0 THEN 'source_is_empty' WHEN n > 4000 THEN 'too_large' WHEN contains(name, '/') THEN 'unsafe_name' WHEN kind IS NULL OR kind <> declared THEN 'unsupported_type' END AS rejection FROM d"""
+)
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stand for uploads of at most 4,000 bytes; some names hold a path, some types are declared wrongly."""
+    name = F.concat(F.lit("page-"), F.col("page_id"), F.when(F.col("page_id") % 7 == 0, "/x").otherwise(""), F.lit(".html"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("byte_size"), detect.text_type(F.col("html")).alias("content_type"), name.alias("name"), F.when(F.col("page_id") % 5 == 0, "text/plain").otherwise("text/html").alias("declared"))
+    return detect.accepted(p, 4000, detect.TEXT_TYPES, "name", "declared").select("page_id", "rejection")
+
+
+@query(
+    f"""WITH {_STATE} SELECT doc_id, n_chars < 100 OR status IN ('uncertain', 'human_review_required') AS needs_review, CASE WHEN n_chars < 100 AND status IN ('accepted', 'verified') THEN 'human_review_required' ELSE status END AS status FROM state"""
+)
+def settled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for lines: what requires review says so in its status."""
+    return rollup.settle(_items(spark, sf_dir), tiny=None).select("doc_id", "needs_review", "status")
