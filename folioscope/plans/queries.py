@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import hashing
 from ..functions import text as tx
-from ..operators import evaluate, export, fields, governance, imaging, layout, matching, metrics, rollup, routing, tables, verify
+from ..operators import document, evaluate, export, fields, governance, imaging, layout, matching, metrics, rollup, routing, tables, verify
 from ..sources import detect, text_pages
 from ..streaming import jobs
 
@@ -843,3 +843,17 @@ def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stand for lines: what requires review says so in its status."""
     return rollup.settle(_items(spark, sf_dir), tiny=None).select("doc_id", "needs_review", "status")
+
+
+@query(
+    f"""WITH {_LINES}, {_SCORED}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (suspicious_rate > 0.1) AS r FROM scored WHERE visible > 0 GROUP BY 1)
+    SELECT d.doc_id AS document_id, CASE WHEN coalesce(r, 0) > 0 THEN 'human_review_required' ELSE 'accepted' END AS quality_status, coalesce(n, 0) AS line_count, coalesce(r, 0) AS review_count FROM documents d LEFT JOIN s USING (doc_id)"""
+)
+def document_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of every document: lines, candidates, verification, settled states, quality."""
+    docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    lines = text_pages.native_lines(text_pages.lines(docs, "document_id", "text")).select("document_id", "page_number", "line_index", "text")
+    pages = text_pages.pages(docs, "document_id", "text").select("document_id", "page_number")
+    out = document.process(document.native_candidates(lines), pages)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.documents.select("document_id", "quality_status", zero("line_count"), zero("review_count"))
