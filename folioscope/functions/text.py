@@ -26,6 +26,8 @@ NON_JOINER = "\u200c"
 ZERO_WIDTH = "\u061c\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 #: White space as Python's str.isspace sees it (Java's \s, even with (?U), leaves out U+001C to U+001F).
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same as characters, for functions that take a set of them.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Pattern of tokens whose digits are kept: addresses, separated codes and dates, alphanumeric identifiers.
 PROTECTED = (
     r"(?U)(?:(?i:\b(?:https?://|ftp://|www\.)[^\s<>()]+)"
@@ -85,7 +87,7 @@ def unicode_form(text: Column, form: str = "NFC") -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end, as Python's strip."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def map_digits(text: Column, policy: str) -> Column:

@@ -293,12 +293,10 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All items take part: as many attempts are allowed as the largest order has items.
     """
-    from pyspark.sql import Window
-
     items = table(spark, sf_dir, "lineitem")
     most = items.groupBy("l_orderkey").count().agg(F.max("count")).head()[0] or 2
     c = items.select(
-        "l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_suppkey", "l_discount")).alias("attempt_idx"), F.concat(F.lit("line "), "l_returnflag").alias("raw_text"), F.concat(F.lit("line "), "l_returnflag").alias("normalized_text"),
+        "l_orderkey", F.struct("l_linenumber", "l_returnflag", "l_suppkey", "l_discount").alias("attempt_idx"), F.concat(F.lit("line "), "l_returnflag").alias("raw_text"), F.concat(F.lit("line "), "l_returnflag").alias("normalized_text"),
         (F.lit(1.0) - F.col("l_discount")).alias("confidence"), F.concat(F.lit("b"), F.col("l_suppkey") % 2).alias("backend"), F.lit("percent").alias("confidence_scale"), F.lit("en").alias("language"), F.lit("Latin").alias("script"),
     )
     out = verify.verify(c, ["l_orderkey"], policy=verify.Policy(max_attempts=max(2, most)), nfc=False)
