@@ -6,12 +6,15 @@ one depends on the order, so that step runs a table at a time.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
-from .groups import sequential
+from .groups import doubles, sequential
 
 #: A table with more empty cells than this is not usable.
 MAX_EMPTY = 0.75
@@ -46,8 +49,14 @@ def check_cells(cells: DataFrame) -> DataFrame:
     Wants region_id, region_width, region_height, cell_idx, row, column, text,
     bbox, polygon and confidence.
     """
+    return _checked(cells).select("region_id", "cell_idx", "row", "column", "accepted", "warning")
+
+
+def _checked(cells: DataFrame) -> DataFrame:
+    """Every cell once, as ``check_cells``, with the corner and ``filled`` that its table needs."""
+    filled = F.lit(None).cast("boolean") if "raw_text" not in cells.columns else F.trim(F.coalesce("raw_text", "text")) != ""
     one = cells.withColumn("_warning", stateless_warning(F.col("bbox"), F.col("region_width"), F.col("region_height")))
-    slim = one.select(F.col("region_id").cast("string").alias("region_id"), F.col("cell_idx").cast("long").alias("cell_idx"), F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1", "_warning")
+    slim = one.select(F.col("region_id").cast("string").alias("region_id"), F.col("cell_idx").cast("long").alias("cell_idx"), F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1", "_warning", filled.alias("filled"))
 
     def in_order(table: list[dict]) -> list[tuple]:
         taken: set[tuple[int, int]] = set()
@@ -62,10 +71,30 @@ def check_cells(cells: DataFrame) -> DataFrame:
             if warning is None:
                 taken.add(address)
                 boxes.append(b)
-            out.append((c["region_id"], c["cell_idx"], c["row"], c["column"], warning is None, warning))
+            out.append((c["region_id"], c["cell_idx"], c["row"], c["column"], warning is None, warning, c["y0"], c["x0"], c["filled"]))
         return out
 
-    return sequential(slim, ["region_id"], ["cell_idx"], in_order, CHECKED)
+    def all_in_order(rows: pa.Table, at: np.ndarray) -> pa.Table:
+        # A cell without a warning has an address and ordered corners.
+        row, column = (pc.fill_null(rows.column(c), -1).to_numpy()[at] for c in ("row", "column"))
+        x0, y0, x1, y1 = (doubles(rows, c)[at] for c in ("x0", "y0", "x1", "y1"))
+        fine = pc.is_null(rows.column("_warning")).to_numpy()[at]
+        repeated, overlapping = np.zeros(at.shape, bool), np.zeros(at.shape, bool)
+        for i in range(1, at.shape[1]):
+            b, before = slice(i, i + 1), slice(0, i)
+            repeated[:, i] = fine[:, i] & (fine[:, before] & (row[:, b] == row[:, before]) & (column[:, b] == column[:, before])).any(1)
+            shared = np.maximum(0.0, np.minimum(x1[:, b], x1[:, before]) - np.maximum(x0[:, b], x0[:, before])) * np.maximum(0.0, np.minimum(y1[:, b], y1[:, before]) - np.maximum(y0[:, b], y0[:, before]))
+            least = np.minimum((x1[:, b] - x0[:, b]) * (y1[:, b] - y0[:, b]), (x1[:, before] - x0[:, before]) * (y1[:, before] - y0[:, before]))
+            share = np.divide(shared, least, out=np.zeros(shared.shape), where=least > 0)
+            overlapping[:, i] = fine[:, i] & ~repeated[:, i] & (fine[:, before] & (share >= SAME_CELL)).any(1)
+            fine[:, i] &= ~(repeated[:, i] | overlapping[:, i])
+        out = rows.take(at.ravel())
+        warning = pc.if_else(pa.array(repeated.ravel()), "duplicate_address", pc.if_else(pa.array(overlapping.ravel()), "overlapping_duplicate", out.column("_warning")))
+        return out.append_column("accepted", pa.array(fine.ravel())).append_column("warning", warning)
+
+    # Cells of one index are told apart by address and box, so that the result does not hang on the shuffle.
+    order = ["cell_idx", "row", "column", "y0", "x0", "y1", "x1", "_warning", "filled"]
+    return sequential(slim, ["region_id"], order, in_order, f"{CHECKED}, y0 double, x0 double, filled boolean", all_in_order)
 
 
 def _overlap(a: tuple, b: tuple) -> float:
@@ -76,14 +105,12 @@ def _overlap(a: tuple, b: tuple) -> float:
 
 def validate(cells: DataFrame) -> DataFrame:
     """One row per table: accepted cells in row order, warnings, review flags, and whether it is usable."""
-    checked = check_cells(cells)
-    joined = checked.join(cells.select(F.col("region_id").cast("string").alias("region_id"), F.col("cell_idx").cast("long").alias("cell_idx"), F.col("bbox.y0").alias("_y0"), F.col("bbox.x0").alias("_x0"), (F.trim(F.coalesce("raw_text", "text")) != "").alias("_filled")), ["region_id", "cell_idx"])
     ok = F.col("accepted")
-    listed = F.struct("row", "column", "_y0", "_x0", "cell_idx")
-    out = joined.groupBy("region_id").agg(
+    listed = F.struct("row", "column", "y0", "x0", "cell_idx")
+    out = _checked(cells).groupBy("region_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(ok, listed))), lambda c: F.struct(c.row.alias("row"), c.column.alias("column"), c.cell_idx.alias("cell_idx"))).alias("cells"),
         F.count_if(ok).alias("n_cells"),
-        F.count_if(ok & F.col("_filled")).alias("n_filled"),
+        F.count_if(ok & F.col("filled")).alias("n_filled"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("cell_idx", "warning")))), lambda w: w.warning).alias("warnings"),
     )
     empty, sparse = F.col("n_cells") == 0, (F.col("n_cells") - F.col("n_filled")) / F.col("n_cells") > MAX_EMPTY

@@ -472,11 +472,15 @@ def active_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.active_runs(profile, ["event_type"], "i", "v", 3, 1)
 
 
-def _boxes(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
+def _box() -> Column:
     """Items of an order stand for boxes on a page."""
     x, y = (F.col("l_partkey") % 97).cast("double"), (F.col("l_suppkey") % 89).cast("double")
-    b = g.box(x, y, x + F.col("l_quantity"), y + F.col("l_quantity") / 2 + 1)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias(f"{prefix}_id"), b.alias(f"{prefix}_box" if prefix != "box" else "box"))
+    return g.box(x, y, x + F.col("l_quantity"), y + F.col("l_quantity") / 2 + 1)
+
+
+def _boxes(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
+    """The boxes of all items, by order and line number."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias(f"{prefix}_id"), _box().alias(f"{prefix}_box" if prefix != "box" else "box"))
 
 
 _BOXES = """b AS (SELECT l_orderkey, l_linenumber AS id, CAST(l_partkey % 97 AS DOUBLE) AS x0, CAST(l_suppkey % 89 AS DOUBLE) AS y0, CAST(l_partkey % 97 AS DOUBLE) + l_quantity AS x1, CAST(l_suppkey % 89 AS DOUBLE) + l_quantity / 2 + 1 AS y1 FROM lineitem)"""
@@ -534,9 +538,9 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def table_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an order as cells of a table: row and column from part and supplier."""
-    c = _boxes(spark, sf_dir, "cell").join(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("cell_id"), "l_partkey", "l_suppkey", "l_linestatus"), ["l_orderkey", "cell_id"])
     polygon = F.lit(None).cast("array<struct<x:double,y:double>>")
-    cells = c.select(F.col("l_orderkey").alias("region_id"), F.lit(140.0).alias("region_width"), F.lit(110.0).alias("region_height"), F.col("cell_id").alias("cell_idx"), (F.col("l_partkey") % 3).alias("row"), (F.col("l_suppkey") % 3).alias("column"), F.col("l_linestatus").alias("text"), F.lit(None).cast("string").alias("raw_text"), F.col("cell_box").alias("bbox"), polygon.alias("polygon"), F.lit(0.9).alias("confidence"))
+    items = table(spark, sf_dir, "lineitem")
+    cells = items.select(F.col("l_orderkey").alias("region_id"), F.lit(140.0).alias("region_width"), F.lit(110.0).alias("region_height"), F.col("l_linenumber").alias("cell_idx"), (F.col("l_partkey") % 3).alias("row"), (F.col("l_suppkey") % 3).alias("column"), F.col("l_linestatus").alias("text"), F.lit(None).cast("string").alias("raw_text"), _box().alias("bbox"), polygon.alias("polygon"), F.lit(0.9).alias("confidence"))
     out = tables.validate(cells)
     return out.select("region_id", "n_cells", "n_filled", F.array_join("warnings", ";").alias("warnings"), F.array_join("flags", ";").alias("flags"), "usable")
 

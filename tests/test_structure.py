@@ -1,11 +1,14 @@
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioscope.functions import geometry as g
-from folioscope.operators import layout, matching, routing, tables
+from folioscope.operators import groups, layout, matching, routing, tables
 from folioscope.sources import detect, evaluation, office, text_pages
 
 BOXED = "page string, id string, idx int, reading_order int, x0 double, y0 double, x1 double, y1 double"
@@ -175,3 +178,80 @@ def test_evaluation_reader_finds_problems(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"documents": docs}))
     t = evaluation.read(spark, str(tmp_path / "g.json"))
     assert {r.problem for r in evaluation.problems(t).collect()} == {"page_numbers", "repeated_line", "box_outside_page"}
+
+
+def _boxes_at_random(spark, kind):
+    """Small whole numbers, so with many ties and equal boxes; one page is too large to be taken together."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        x, y = float(rng.randrange(12)), float(rng.randrange(12))
+        page = "p999" if i < 60 else f"p{rng.randrange(600)}"
+        rows.append((page, rng.randrange(2), rng.choice([None, "a", "b", "c", "d"]), rng.randrange(4), rng.randrange(4), x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9), "rtl" if page.endswith("3") else "ltr"))
+    return spark.createDataFrame(rows, f"page string, side int, id string, idx int, {kind} int, x0 double, y0 double, x1 double, y1 double, direction string")
+
+
+def _both_ways(monkeypatch, module, run):
+    """Rows of a step for groups of one size together, and for each group alone."""
+    with monkeypatch.context() as m:
+        taken = []
+        m.setattr(module, "sequential", lambda *a: taken.append(a) or a[0].withColumns({c: F.lit(None) for c in ("accepted", "warning", "filled") if c not in a[0].columns}))
+        run()
+    df, keys, order, step, schema, same_size, *finite = taken[0]
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = df.sort(*keys, *order).toArrow().combine_chunks()
+    out = []
+    for few in (groups.FEW, 0):
+        monkeypatch.setattr(groups, "FEW", few)
+        batches = groups._together(rows, groups._starts(rows, keys), keys, step, same_size, *(finite or [()]), schema.fieldNames(), to_arrow_schema(schema))
+        out.append(sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=str))
+    assert len(out[0]) > 1000
+    return out
+
+
+def test_reading_rows_of_groups_together(spark, monkeypatch):
+    df = _boxes_at_random(spark, "n")
+    together, alone = _both_ways(monkeypatch, layout, lambda: layout.reading_rows(df.select("page", "id", "idx", "x0", "y0", "x1", "y1", "direction"), "page"))
+    assert together == alone
+
+
+def test_matches_of_groups_together(spark, monkeypatch):
+    df = _boxes_at_random(spark, "reading_order")
+    together, alone = _both_ways(monkeypatch, matching, lambda: matching.match_lines(df.where("side = 0"), df.where("side = 1"), "page", 0.1))
+    assert together == alone
+
+
+def test_cells_of_groups_together(spark, monkeypatch):
+    df = _boxes_at_random(spark, "row").select(
+        F.col("page").alias("region_id"), F.lit(14.0).alias("region_width"), F.lit(18.0).alias("region_height"), F.col("idx").alias("cell_idx"), "row", F.length("page").alias("column"), F.col("id").alias("text"),
+        F.lit(None).cast("string").alias("raw_text"), g.box(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("bbox"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("polygon"), F.lit(0.5).alias("confidence"),
+    )
+    together, alone = _both_ways(monkeypatch, tables, lambda: tables.check_cells(df))
+    assert together == alone and {r[5] for r in alone} >= {None, "duplicate_address", "overlapping_duplicate", "invalid_text", "invalid_geometry"}
+
+
+def test_groups_go_on_over_batches(spark, monkeypatch):
+    """Whole groups, however the rows are cut into batches."""
+    df = spark.range(1000).select((F.col("id") / 7).cast("long").cast("string").alias("page"), F.col("id").alias("i"), F.lit(0.0).alias("x0"), (F.col("id") * 20.0).alias("y0"), (F.col("id") * 20.0 + 5).alias("y1"), F.lit("ltr").alias("direction"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r.i: r.row_order for r in layout.reading_rows(df, "page").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: i % 7 for i in range(1000)}
+
+
+def test_cells_of_one_index_count_once(spark):
+    """Two cells with one index are two cells; their table was joined by the index, which made four."""
+    df = cells(spark, [(0, 0, "a", (0, 0, 30, 20), 0.9), (0, 1, "b", (30, 0, 60, 20), 0.9)]).withColumn("cell_idx", F.lit(0))
+    r = tables.validate(df).head()
+    assert (r.n_cells, r.n_filled, r.warnings) == (2, 2, []) and len(r.cells) == 2
+
+
+def test_items_of_an_order_are_cells_once(spark, sf_dir):
+    """An order's cells and warnings are no more than its items, though line numbers repeat."""
+    from folioscope.plans import queries
+
+    out = queries.QUERIES["table_validate"](spark, sf_dir).withColumn("n", F.col("n_cells") + F.size(F.filter(F.split("warnings", ";"), lambda w: ~w.isin("", "empty_result", "excessive_empty_cells"))))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").cast("string").alias("region_id")).agg(F.count(F.lit(1)).alias("items"))
+    assert out.join(items, "region_id", "full").where("n is null or n <> items").count() == 0
