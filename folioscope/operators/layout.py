@@ -6,12 +6,14 @@ rows with a moving centre need a sequential step, a page at a time.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
-from .groups import sequential
+from .groups import doubles, sequential
 
 LEADING = ("title", "header")
 TRAILING = ("footer", "page_number")
@@ -158,4 +160,23 @@ def reading_rows(lines: DataFrame, key: str, direction: str = "direction", toler
         order = sorted(range(len(page)), key=lambda i: (centre[row_of[i]], row_of[i], sign * page[i]["x0"]))
         return [(*(page[i][c] for c in names), k) for k, i in enumerate(order)]
 
-    return sequential(lines, [key], ["y0", "x0"], place, schema)
+    def place_all(rows: pa.Table, at: np.ndarray) -> pa.Table:
+        groups, size = at.shape
+        each = np.arange(groups)
+        middle = (doubles(rows, "y0")[at] + doubles(rows, "y1")[at]) / 2
+        total, n, row_of, opened = np.zeros(at.shape), np.zeros(at.shape), np.zeros(at.shape, int), np.zeros(groups, int)
+        for i in range(size):
+            near = (np.abs(middle[:, i : i + 1] - total[:, : i + 1] / np.maximum(n[:, : i + 1], 1)) <= tolerance) & (n[:, : i + 1] > 0)
+            k = np.where(near.any(1), near.argmax(1), opened)
+            opened += k == opened
+            total[each, k] += middle[:, i]
+            n[each, k] += 1
+            row_of[:, i] = k
+        centre = np.take_along_axis(total / np.maximum(n, 1), row_of, 1)
+        sign = np.array([-1.0 if str(d).lower() == "rtl" else 1.0 for d in rows.column(direction).take(at[:, 0]).to_pylist()])
+        order = np.lexsort(((sign[:, None] * doubles(rows, "x0")[at]).ravel(), row_of.ravel(), centre.ravel(), np.repeat(each, size)))
+        return rows.take(at.ravel()[order]).append_column("row_order", pa.array(np.tile(np.arange(size, dtype=np.int32), groups)))
+
+    # Equal corners are told apart by the other columns, so that the order does not hang on the shuffle.
+    ties = [c for c in names if c not in (key, "y0", "x0") and not isinstance(lines.schema[c].dataType, T.MapType)]
+    return sequential(lines, [key], ["y0", "x0", *ties], place, schema, place_all, ("x0", "y0", "y1"))
