@@ -6,11 +6,14 @@ and removes what is taken, so it runs a page at a time.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .groups import sequential
+from .groups import doubles, sequential
 
 
 def page_pairs(reference: DataFrame, prediction: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +83,32 @@ def match_lines(reference: DataFrame, prediction: DataFrame, key: str = "page",
                 out.append((r[key], r["id"], None))
         return out
 
-    return sequential(_sides(reference, prediction, key, "reading_order"), [key], ["_side", "_order"], assign, f"{key} string, reference_id string, prediction_id string")
+    def assign_all(rows: pa.Table, at: np.ndarray) -> pa.Table:
+        groups, size = at.shape
+        each = np.arange(groups)
+        x0, y0, x1, y1 = (doubles(rows, c)[at] for c in ("x0", "y0", "x1", "y1"))
+        ids = pc.fill_null(rows.column("id").combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)[at]
+        predicted = rows.column("_side").to_numpy()[at] == 1
+        free, found = predicted.copy(), np.full(at.shape, -1)
+        for i in range(size):
+            b = slice(i, i + 1)
+            shared = np.maximum(0.0, np.minimum(x1[:, b], x1) - np.maximum(x0[:, b], x0)) * np.maximum(0.0, np.minimum(y1[:, b], y1) - np.maximum(y0[:, b], y0))
+            union = (x1[:, b] - x0[:, b]) * (y1[:, b] - y0[:, b]) + (x1 - x0) * (y1 - y0) - shared
+            iou = np.where(free, np.divide(shared, union, out=np.zeros(at.shape), where=union > 0), -np.inf)
+            same = predicted & (ids == ids[:, b])
+            named, k = same.any(1), iou.argmax(1)
+            k = np.where(named, same.argmax(1), k)
+            taken = ~predicted[:, i] & free[each, k] & (named | (iou[each, k] >= threshold))
+            found[taken, i] = at[taken, k[taken]]
+            free[each[taken], k[taken]] = False
+        wanted = ~predicted
+        reference_at, k = at[wanted], found[wanted]
+        ours = rows.take(reference_at)
+        return pa.table({key: ours.column(key), "reference_id": ours.column("id"), "prediction_id": rows.column("id").take(pa.array(k, mask=k < 0))})
+
+    # Lines of one place in the order are told apart by id and box, so that the result does not hang on the shuffle.
+    order = ["_side", "_order", "id", "x0", "y0", "x1", "y1"]
+    return sequential(_sides(reference, prediction, key, "reading_order"), [key], order, assign, f"{key} string, reference_id string, prediction_id string", assign_all, ("x0", "y0", "x1", "y1"))
 
 
 def detection(reference: DataFrame, prediction: DataFrame, key: str = "page", threshold: float = 0.5) -> DataFrame:
