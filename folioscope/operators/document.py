@@ -9,6 +9,7 @@ shuffles by line once, by page and by document after that on aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -55,12 +56,16 @@ def recognize(regions: DataFrame, backends: Mapping[str, contracts.Adapter], rou
 
 def settled(candidates: DataFrame, keys: list[str], policy: verify.Policy = verify.Policy(), normalization: tx.Normalization = tx.DEFAULT) -> DataFrame:
     """Verified and settled lines or cells (by their keys) with ``position``, ``disagreement`` and the columns that exports want."""
-    normalized = candidates.withColumn("normalized_text", tx.normalize(F.coalesce(F.col("raw_text"), F.lit("")), normalization))
-    position = candidates.groupBy(*keys).agg(F.min("position").alias("position"))
-    found = verify.verify(normalized, keys, policy=policy)
-    differs = verify.disagreement(normalized, keys, "normalized_text", "attempt_idx")
-    several = F.when(F.size("attempts") > 1, F.col("disagreement_rate"))
-    out = found.join(position, keys).join(differs, keys).withColumn("disagreement", several).drop("disagreement_rate")
+    # Texts are compared in the form that is also the first step of most policies: it is taken once.
+    formed = candidates.withColumn("compared_text", tx.unicode_form(F.col("raw_text")))
+    same = normalization.unicode_form == "NFC"
+    text = F.coalesce(F.col("compared_text" if same else "raw_text"), F.lit(""))
+    normalized = formed.withColumn("normalized_text", tx.normalize(text, replace(normalization, unicode_form=None) if same else normalization))
+    # The share of later candidates that differ from the first, as ``verify.disagreement``, in the same aggregation as the position.
+    per_text = normalized.groupBy(*keys, "normalized_text").agg(F.count(F.lit(1)).alias("_n"), F.min("attempt_idx").alias("_first"), F.min("position").alias("_at"))
+    summed = per_text.groupBy(*keys).agg(F.min("_at").alias("position"), F.min_by("_n", F.struct("_first", "normalized_text")).alias("_same"), F.sum("_n").alias("_all"))
+    several = F.when((F.col("_all") > 1) & F.lit(policy.max_attempts > 1), (F.col("_all") - F.col("_same")) / (F.col("_all") - 1))
+    out = verify.verify(normalized, keys, policy=policy).join(summed.select(*keys, "position", several.alias("disagreement")), keys)
     need = F.col("status").isin("uncertain", "human_review_required", "failed")
     return rollup.settle(out.withColumns({"needs_review": need, "corrected_text": F.lit(None).cast("string")}))
 

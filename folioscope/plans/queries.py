@@ -856,6 +856,7 @@ def document_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     lines = text_pages.native_lines(text_pages.lines(docs, "document_id", "text")).select("document_id", "page_number", "line_index", "text")
     pages = text_pages.pages(docs, "document_id", "text").select("document_id", "page_number")
-    out = document.process(document.native_candidates(lines), pages)
+    # Only the documents are wanted, so nothing is held, and what they do not need is not computed.
+    out = document.process(document.native_candidates(lines), pages, hold=lambda items: items)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.documents.select("document_id", "quality_status", zero("line_count"), zero("review_count"))

@@ -117,3 +117,22 @@ def test_a_key_of_no_column_is_an_error(spark):
 
     with pytest.raises(AnalysisException):
         jobs.find(spark.createDataFrame([("j",)], "job_id string"), nothing="x").collect()
+
+
+def test_settling_normalizes_twice_at_most(spark):
+    """Verification and one aggregation read the candidates (three branches before), and the share of others is as before."""
+    rows = [("d", 1, "line-0", 0, i, t, 0.9) for i, t in enumerate(["a", "b", "a", "a"])] + [("d", 1, "line-1", 1, 0, "x", 0.9)]
+    c = spark.createDataFrame(rows, "document_id string, page_number int, line_id string, position int, attempt_idx int, raw_text string, confidence double")
+    out = document.settled(c, document.LINE_KEYS)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+    assert {r.line_id: (r.position, r.disagreement) for r in out.collect()} == {"line-0": (0, pytest.approx(1 / 3)), "line-1": (1, None)}
+
+
+def test_few_texts_of_a_batch_are_strings(spark):
+    """A batch stays Arrow; texts are taken ``HELD`` at a time, nulls and an empty partition too."""
+    from folioscope.functions import text as tx
+
+    seen = lambda col: tx.each_text(col, lambda x: x + "!")
+    df = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") % 5 != 0, F.col("id").cast("string")).alias("t"))
+    got = {r.id: r.x for r in df.select("id", seen(F.col("t")).alias("x")).collect()}
+    assert got == {i: None if i % 5 == 0 else f"{i}!" for i in range(300)}
