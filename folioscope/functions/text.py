@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,10 +77,22 @@ BUILTIN = Normalization(unicode_form=None)
 
 def unicode_form(text: Column, form: str = "NFC") -> Column:
     """The text in a Unicode normalization form (Arrow UDF)."""
+    return each_text(text, lambda x: x if x.isascii() else unicodedata.normalize(form, x))
 
-    @F.pandas_udf(T.StringType())
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize(form, x))
+
+#: Texts of a batch that are Python strings at once.
+HELD = 64
+
+
+def each_text(text: Column, f: Callable[[str], str]) -> Column:
+    """``f`` of every text that is not null (Arrow UDF): a worker holds a batch as Arrow, and few of its texts as strings."""
+
+    @F.arrow_udf(T.StringType())
+    def apply(texts: pa.Array) -> pa.Array:
+        parts = []
+        for k in range(0, len(texts), HELD):
+            parts.append(pa.array([None if x is None else f(x) for x in texts.slice(k, HELD).to_pylist()], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return apply(text)
 

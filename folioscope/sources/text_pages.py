@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.geometry import box
+from ..functions.text import each_text
 from .detect import split_lines
 
 WIDTH = 612.0
@@ -51,19 +50,13 @@ def visible_text(html: Column, skip_raw_elements: bool = False) -> Column:
     over the standard parser: markup is not a regular language).
     """
 
-    @F.pandas_udf(T.StringType())
-    def apply(pages: pd.Series) -> pd.Series:
-        def one(page):
-            if page is None:
-                return None
-            parser = _Visible(skip_raw_elements)
-            parser.feed(page)
-            parser.close()
-            return "".join(parser.out)
+    def one(page: str) -> str:
+        parser = _Visible(skip_raw_elements)
+        parser.feed(page)
+        parser.close()
+        return "".join(parser.out)
 
-        return pages.map(one)
-
-    return apply(html)
+    return each_text(html, one)
 
 
 def lines(df: DataFrame, key: str, text: str, page_lines: int = PAGE_LINES) -> DataFrame:
